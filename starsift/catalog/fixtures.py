@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from starsift.sources.files import read_table
+
 VIEWS = {
     "reviews": """
         select md5(concat_ws('|', cast(l_orderkey as string), cast(l_linenumber as string),
@@ -68,7 +70,7 @@ _SQL_MACROS = {"HEX": "('0x'||substr(review_id,1,8))::BIGINT", "SLICE": "embeddi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

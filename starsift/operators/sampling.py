@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starsift.functions.hashing import bucket, hash32
-from starsift.operators.lookup import HOT_SHARE, lookup
+from starsift.operators.lookup import HOT_SHARE, hot_keys
 
 #: Up to this many rows per group Spark prunes a rank filter map-side.
 GROUP_LIMIT = 1000
@@ -17,35 +17,25 @@ GROUP_LIMIT = 1000
 CUT_BITS = 16
 
 
-def _cut_points(df: DataFrame, n: Column, key: str, by: list[str], seed: int | None) -> DataFrame:
-    """The ``n``-th (hash, key) of each group with at least ``n`` rows.
+def _slices(df: DataFrame, key: str, by: Sequence[str], seed: int | None) -> DataFrame:
+    """Row counts per (group, hash slice), with the rows before each slice.
 
-    Two small passes over key columns: row counts per hash slice (at most
-    2**CUT_BITS per group, combined before the shuffle) say in which slice the
-    n-th row lies; only that slice, one 2**CUT_BITS-th of a group, is ranked.
+    At most 2**CUT_BITS rows per group, and combined before the shuffle.
     """
-    h = hash32(key, seed)
-    keyed = df.select(*by, h.alias("_h"), F.col(key).alias("_key")).withColumn(
-        "_slice", F.shiftright("_h", 32 - CUT_BITS)
-    )
-    sizes = keyed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    group = W.partitionBy(*(by or [F.lit(0)]))
-    upto = sizes.withColumn("_upto", F.sum("_n").over(group.orderBy("_slice")))
-    edge = upto.withColumn("_before", F.col("_upto") - F.col("_n")).filter(
-        (F.col("_before") < n) & (F.col("_upto") >= n)
-    )
-    edge = edge.select(*by, F.col("_slice").alias("_edge"), "_before")
-    if by:
-        groups = sizes.groupBy(*by).agg(F.sum("_n").alias("_n"))
-        in_edge = lookup(keyed, edge, by, counts=groups, n="_n").filter(F.col("_slice") == F.col("_edge"))
-    else:
-        found = edge.select(F.struct("_edge", "_before")).scalar()
-        in_edge = keyed.filter(F.col("_slice") == found["_edge"]).withColumn(
-            "_before", found["_before"]
-        )
-    place = F.col("_before") + F.row_number().over(group.orderBy("_h", "_key"))
-    ranked = in_edge.withColumn("_place", place).filter(F.col("_place") == n)
-    return ranked.select(*by, F.struct("_h", F.col("_key")).alias("_cut"))
+    sliced = df.select(*by, _slice(hash32(key, seed)).alias("_slice"))
+    sizes = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    order = W.partitionBy(*(by or [F.lit(0)])).orderBy("_slice")
+    return sizes.withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
+
+
+def _slice(h: Column) -> Column:
+    return F.shiftright(h, 32 - CUT_BITS)
+
+
+def _edges(slices: DataFrame, n: Column) -> DataFrame:
+    """The slice that holds row ``n`` of its group; none for smaller groups."""
+    upto = F.col("_before") + F.col("_n")
+    return slices.filter((F.col("_before") < n) & (upto >= n))
 
 
 def flag_first(
@@ -53,46 +43,76 @@ def flag_first(
     n: int | Column,
     *,
     key: str,
-    by: Sequence[str] = (),
     seed: int | None = None,
     flag: str = "chosen",
-    share: int = HOT_SHARE,
 ) -> DataFrame:
-    """All rows plus ``flag``: is the row among the first ``n`` of its group?
+    """All rows plus ``flag``: is the row among the first ``n`` by (hash of key, key)?
 
-    Rows are ordered by (hash of ``key``, ``key``); ``key`` must be unique.
-    The rows themselves are not sorted or shuffled: each is compared with the
-    cut point of its group, and a group with fewer than ``n`` rows is chosen
-    whole.
+    ``key`` must be unique. The rows are neither sorted nor shuffled: slice
+    counts tell where row ``n`` lies, that slice alone (one 2**CUT_BITS-th of
+    the rows) is ranked, and every row is compared with the cut found there.
     """
-    by = list(by)
     n = F.lit(n) if isinstance(n, int) else n
-    rows = df.dropna(subset=by) if by else df
-    cuts = _cut_points(rows, n, key, by, seed)
+    edge = _edges(_slices(df, key, [], seed), n).select(F.struct("_slice", "_before")).scalar()
+    keyed = df.select(hash32(key, seed).alias("_h"), F.col(key).alias("_key"))
+    ranked = keyed.filter(_slice(F.col("_h")) == edge["_slice"]).withColumn(
+        "_place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_h", "_key"))
+    )
+    last = ranked.filter(F.col("_place") == n - edge["_before"])
+    cut = last.select(F.struct("_h", "_key").alias("_cut")).scalar()
     own = F.struct(hash32(key, seed).alias("_h"), F.col(key).alias("_key"))
-    if not by:
-        cut = cuts.select("_cut").scalar()
-        return rows.withColumn(flag, (n > 0) & F.coalesce(own <= cut, F.lit(True)))
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    all_cuts = sizes.select(*by).join(cuts, by, "left")
-    joined = lookup(rows, all_cuts, by, counts=sizes, share=share)
-    return joined.withColumn(
-        flag, (n > 0) & F.coalesce(own <= F.col("_cut"), F.lit(True))
-    ).drop("_cut")
+    return df.withColumn(flag, (n > 0) & F.coalesce(own <= cut, F.lit(True)))
+
+
+def _take_first_per_group(
+    df: DataFrame, n: int, key: str, by: list[str], seed: int | None, share: int
+) -> DataFrame:
+    """Up to ``n`` rows of each group.
+
+    Rows of a hot group beyond the slice that holds its n-th row are dropped
+    while scanning, and what is left is ranked slice by slice, so a hot group is
+    spread over many tasks. Other groups are small and ranked whole.
+    """
+    slices = _slices(df, key, by, seed)
+    groups = slices.groupBy(*by).agg(F.sum("_n").alias("_n"))
+    edges = _edges(slices, F.lit(n)).select(*by, F.col("_slice").alias("_edge"), "_before")
+    hot = hot_keys(groups, by, "_n", share).join(edges, by, "left").withColumn("_hot", F.lit(True))
+    h = hash32(key, seed)
+    rows = df.withColumn("_h", h).withColumn("_slice", _slice(F.col("_h")))
+    near = rows.join(F.broadcast(hot), by, "left").filter(
+        F.col("_edge").isNull() | (F.col("_slice") <= F.col("_edge"))
+    )
+    part = F.when(F.col("_hot"), F.col("_slice")).otherwise(-1)
+    skip = F.when(F.col("_slice") == F.col("_edge"), F.col("_before")).otherwise(0)
+    order = W.partitionBy(*by, "_part").orderBy("_h", key)
+    ranked = near.withColumns({"_part": part, "_skip": skip}).withColumn(
+        "_rank", F.row_number().over(order)
+    )
+    return ranked.filter(F.col("_rank") + F.col("_skip") <= n).select(*df.columns)
 
 
 def take_first(
-    df: DataFrame, n: int, *, key: str, by: Sequence[str] = (), seed: int | None = None
+    df: DataFrame,
+    n: int,
+    *,
+    key: str,
+    by: Sequence[str] = (),
+    seed: int | None = None,
+    share: int = HOT_SHARE,
 ) -> DataFrame:
-    """``n`` rows (per group, if ``by`` is given), repeatable for a key and seed."""
-    if n <= GROUP_LIMIT:
-        order = [hash32(key, seed), F.col(key)]
-        if not by:
+    """``n`` rows (of each group, if ``by`` is given), repeatable for a key and seed."""
+    by = list(by)
+    order = [hash32(key, seed), F.col(key)]
+    if not by:
+        if n <= GROUP_LIMIT:
             return df.orderBy(*order).limit(n)
-        rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-        rows = df.dropna(subset=list(by))
-        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
-    return flag_first(df, n, key=key, by=by, seed=seed).filter(F.col("chosen")).drop("chosen")
+        flagged = flag_first(df, n, key=key, seed=seed)
+        return flagged.filter(F.col("chosen")).drop("chosen")
+    rows = df.dropna(subset=by)
+    if n > GROUP_LIMIT:
+        return _take_first_per_group(rows, n, key, by, seed, share)
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
 def balance_classes(

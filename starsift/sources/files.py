@@ -21,6 +21,26 @@ PANDAS_NA = [
 ]
 # --- end of fixed values ---
 
+#: Inputs with fewer bytes per core than this are worth redistributing.
+SMALL_SPLIT = 16 * 1024 * 1024
+
+
+def spread(df: DataFrame, bytes_per_core: int = SMALL_SPLIT) -> DataFrame:
+    """A small scan redistributed round-robin over all cores.
+
+    A file with few row groups is read by as few tasks, which then do all the
+    work up to the first shuffle. Inputs that fill every core with a split of
+    ``bytes_per_core`` are left alone, so no large table is ever moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_per_core else df
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; small ones are spread over the cores."""
+    return spread(spark.read.parquet(path))
+
 
 def read_reviews(
     spark: SparkSession, path: str, *, typed: bool = False, partitions: int | None = None
