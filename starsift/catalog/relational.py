@@ -40,12 +40,13 @@ def long_reviews(spark, sf_dir):
 
 
 def capped_pairs(spark, sf_dir):
-    return density.pair_cap_having(long_reviews(spark, sf_dir), MAX_PER_PAIR)
+    counts = density.stored_pair_counts(long_reviews(spark, sf_dir))
+    return density.pair_cap_having(counts, MAX_PER_PAIR)
 
 
-def dense_pairs(spark, sf_dir):
+def dense_pairs(counts):
     return density.density_filter(
-        long_reviews(spark, sf_dir),
+        counts,
         max_per_pair=MAX_PER_PAIR,
         min_product=MIN_PRODUCT,
         min_customer=MIN_CUSTOMER,
@@ -193,7 +194,8 @@ def pair_counts(spark, sf_dir):
 )
 def pair_counts_max(spark, sf_dir):
     # The maximum of one count per pair is that count, so there is no second aggregate.
-    pairs = density.pair_cap_having(view(spark, sf_dir, "reviews"), MAX_PER_PAIR)
+    counts = density.pair_counts(view(spark, sf_dir, "reviews"))
+    pairs = density.pair_cap_having(counts, MAX_PER_PAIR)
     return pairs.withColumnRenamed("n_reviews", "review_id")
 
 
@@ -203,7 +205,7 @@ def pair_counts_max(spark, sf_dir):
     ("reviews",),
 )
 def pair_cap_having(spark, sf_dir):
-    return capped_pairs(spark, sf_dir)
+    return density.pair_cap_having(density.pair_counts(long_reviews(spark, sf_dir)), MAX_PER_PAIR)
 
 
 @query(
@@ -246,7 +248,7 @@ def customer_review_count(spark, sf_dir):
 
 @query("density_filter", f"with {DENSE_SQL} select * from dense", ("reviews",))
 def density_filter(spark, sf_dir):
-    return dense_pairs(spark, sf_dir)
+    return dense_pairs(density.stored_pair_counts(long_reviews(spark, sf_dir)))
 
 
 @query(
@@ -258,7 +260,8 @@ def density_filter(spark, sf_dir):
 )
 def join_back_pair(spark, sf_dir):
     rows = long_reviews(spark, sf_dir)
-    back = density.join_back_pair(rows, dense_pairs(spark, sf_dir), max_per_pair=MAX_PER_PAIR)
+    counts = density.stored_pair_counts(rows)
+    back = density.join_back_pair(rows, dense_pairs(counts), counts, max_per_pair=MAX_PER_PAIR)
     return back.select("review_id", "product_id", "customer_id", "star_rating")
 
 
@@ -271,7 +274,9 @@ def join_back_pair(spark, sf_dir):
     ("reviews",),
 )
 def join_back_customer(spark, sf_dir):
-    return density.fan_out_sizes(view(spark, sf_dir, "reviews"), dense_pairs(spark, sf_dir))
+    counts = density.stored_pair_counts(view(spark, sf_dir, "reviews"))
+    dense = dense_pairs(density.stored_pair_counts(long_reviews(spark, sf_dir)))
+    return density.fan_out_sizes(dense, counts)
 
 
 @query(
@@ -283,7 +288,9 @@ def join_back_customer(spark, sf_dir):
 )
 def join_back_customer_rows(spark, sf_dir):
     df = view(spark, sf_dir, "reviews").select("review_id", "customer_id")
-    back = density.join_back_customer(df, dense_pairs(spark, sf_dir))
+    counts = density.stored_pair_counts(view(spark, sf_dir, "reviews"))
+    dense = dense_pairs(density.stored_pair_counts(long_reviews(spark, sf_dir)))
+    back = density.join_back_customer(df, dense, counts)
     return back.select("review_id", "customer_id", "copies")
 
 
@@ -305,7 +312,10 @@ def join_strategy_hint(spark, sf_dir):
         F.avg(F.col("star_rating").cast("double")).alias("stars"),
     )
     # Combined per product before the join, so that a hot product is one row.
-    pairs = capped_pairs(spark, sf_dir).groupBy("product_id").agg(F.count(F.lit(1)).alias("pairs"))
+    capped = density.pair_cap_having(
+        density.pair_counts(long_reviews(spark, sf_dir)), MAX_PER_PAIR
+    )
+    pairs = capped.groupBy("product_id").agg(F.count(F.lit(1)).alias("pairs"))
 
     def joined(strategy):
         return pairs.join(stars.hint(strategy), "product_id").select(

@@ -102,15 +102,11 @@ PLACES_SQL = f"""places as (select doc_id, i - 1 as pos, {sql_hash('token')} % v
        (select count(*) as v from embeddings) z)"""
 
 
-def places(spark, sf_dir):
+def with_token_ids(spark, sf_dir):
     docs = view(spark, sf_dir, "documents").select("doc_id", "text")
     size = view(spark, sf_dir, "embeddings").agg(F.count(F.lit(1))).scalar()
-    rows = sequence.token_places(docs, tx.word_tokens("text"))
-    return rows.select(
-        "doc_id",
-        F.col("pos").cast("bigint").alias("pos"),
-        F.pmod(hash32("token"), size).cast("bigint").alias("token_id"),
-    )
+    ids = F.transform(tx.word_tokens("text"), lambda t: F.pmod(hash32(t), F.col("_size")))
+    return docs.withColumn("_size", size).select("doc_id", ids.alias("token_ids"))
 
 
 def vectors(spark, sf_dir):
@@ -125,11 +121,11 @@ def vectors(spark, sf_dir):
         from places join t on token_id = vec_id""",
 )
 def embedding_lookup(spark, sf_dir):
-    found = sequence.embedding_lookup(places(spark, sf_dir), vectors(spark, sf_dir))
+    found = sequence.embedding_lookup(with_token_ids(spark, sf_dir), vectors(spark, sf_dir))
     values = F.col("embedding").cast("array<double>")
     total = F.aggregate(values, F.lit(0.0).cast("double"), lambda a, x: a + x)
     return found.select(
-        "doc_id", "pos", "token_id",
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), "token_id",
         F.round(values[0], 6).alias("first"), F.round(total, 6).alias("total"),
     )
 
@@ -153,12 +149,12 @@ def _pool_sql(cell: str) -> str:
 
 @query("embed_mean_pool", _pool_sql("sum({x} * n) / sum(n)"))
 def embed_mean_pool(spark, sf_dir):
-    return _spread(sequence.mean_pool(places(spark, sf_dir), vectors(spark, sf_dir), DIMS))
+    return _spread(sequence.mean_pool(with_token_ids(spark, sf_dir), vectors(spark, sf_dir), DIMS))
 
 
 @query("embed_max_pool", _pool_sql("max({x})"))
 def embed_max_pool(spark, sf_dir):
-    return _spread(sequence.max_pool(places(spark, sf_dir), vectors(spark, sf_dir), DIMS))
+    return _spread(sequence.max_pool(with_token_ids(spark, sf_dir), vectors(spark, sf_dir), DIMS))
 
 
 HIDDEN, CLASSES = 16, 5

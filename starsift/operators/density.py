@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starsift.operators.lookup import HOT_SHARE, drop_hot, lookup
+from starsift.session import stored
 
 PRODUCT = "product_id"
 CUSTOMER = "customer_id"
@@ -15,15 +16,18 @@ PAIR = [PRODUCT, CUSTOMER]
 
 def pair_counts(df: DataFrame) -> DataFrame:
     """Reviews per (product, customer): product_id, customer_id, n_reviews."""
-    # Null keys can never join later; dropping them here keeps this subplan the
-    # same wherever it is used, so that its exchange is reused.
     rows = df.filter(F.col(PRODUCT).isNotNull() & F.col(CUSTOMER).isNotNull())
     return rows.groupBy(*PAIR).agg(F.count("review_id").alias("n_reviews"))
 
 
-def pair_cap_having(df: DataFrame, max_per_pair: int = 20) -> DataFrame:
+def stored_pair_counts(df: DataFrame) -> DataFrame:
+    """``pair_counts`` written once: the operators below read it several times."""
+    return stored(pair_counts(df), "pairs")
+
+
+def pair_cap_having(counts: DataFrame, max_per_pair: int = 20) -> DataFrame:
     """Pairs with at most ``max_per_pair`` reviews; larger pairs go entirely."""
-    return pair_counts(df).filter(F.col("n_reviews") <= max_per_pair)
+    return counts.filter(F.col("n_reviews") <= max_per_pair)
 
 
 def pair_cap_topn(df: DataFrame, max_per_pair: int = 20, order_by: str = "review_id") -> DataFrame:
@@ -47,7 +51,7 @@ def customer_review_count(pairs: DataFrame) -> DataFrame:
 
 
 def density_filter(
-    df: DataFrame,
+    counts: DataFrame,
     *,
     max_per_pair: int = 20,
     min_product: int = 2,
@@ -56,10 +60,10 @@ def density_filter(
 ) -> DataFrame:
     """Pairs under the cap whose product and customer both have enough pairs.
 
-    Both counts are taken over the same capped pairs, before either minimum is
-    applied.
+    Takes the stored pair counts. Both review counts are taken over the same
+    capped pairs, before either minimum is applied.
     """
-    pairs = pair_cap_having(df, max_per_pair)
+    pairs = pair_cap_having(counts, max_per_pair)
     products = product_review_count(pairs)
     customers = customer_review_count(pairs)
     kept = lookup(
@@ -81,35 +85,41 @@ def density_filter(
 
 
 def join_back_pair(
-    df: DataFrame, pairs: DataFrame, *, max_per_pair: int = 20, share: int = HOT_SHARE
+    df: DataFrame,
+    pairs: DataFrame,
+    counts: DataFrame,
+    *,
+    max_per_pair: int = 20,
+    share: int = HOT_SHARE,
 ) -> DataFrame:
-    """Review rows whose (product, customer) pair is in ``pairs``.
+    """Review rows of ``df`` whose (product, customer) pair is in ``pairs``.
 
-    Pairs over the cap cannot be in ``pairs``, so the rows of any hot pair are
-    dropped before the shuffle.
+    ``counts`` are the stored pair counts of ``df``. Pairs over the cap cannot be
+    in ``pairs``, so the rows of any hot pair are dropped before the shuffle.
     """
-    rows = drop_hot(
-        df, pair_counts(df), PAIR, n="n_reviews", floor=max_per_pair + 1, share=share
-    )
+    rows = drop_hot(df, counts, PAIR, n="n_reviews", floor=max_per_pair + 1, share=share)
     return rows.join(pairs.select(*PAIR), PAIR, "left_semi")
 
 
-def join_back_customer(df: DataFrame, pairs: DataFrame, *, share: int = HOT_SHARE) -> DataFrame:
+def join_back_customer(
+    df: DataFrame, pairs: DataFrame, counts: DataFrame, *, share: int = HOT_SHARE
+) -> DataFrame:
     """Review rows of the customers in ``pairs``, with their join multiplicity.
 
     Joining on the customer alone repeats every review once per surviving pair
     of its customer. The repeats are given as a column ``copies`` rather than as
-    rows: same information, and the size stays that of the input.
+    rows: same information, and the size stays that of the input. ``counts`` are
+    the stored pair counts of ``df``.
     """
     rows = df.dropna(subset=[CUSTOMER])
-    sizes = rows.groupBy(CUSTOMER).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(CUSTOMER).agg(F.sum("n_reviews").alias("n"))
     copies = pairs.groupBy(CUSTOMER).agg(F.count(F.lit(1)).alias("copies"))
     return lookup(rows, copies, [CUSTOMER], counts=sizes, share=share)
 
 
-def fan_out_sizes(df: DataFrame, pairs: DataFrame) -> DataFrame:
+def fan_out_sizes(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """Rows per customer of the customer-only join, without making those rows."""
-    details = df.groupBy(CUSTOMER).agg(F.count(F.lit(1)).alias("detail_rows"))
+    details = counts.groupBy(CUSTOMER).agg(F.sum("n_reviews").alias("detail_rows"))
     copies = pairs.groupBy(CUSTOMER).agg(F.count(F.lit(1)).alias("copies"))
     return details.join(copies, CUSTOMER).select(
         CUSTOMER,

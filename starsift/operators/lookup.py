@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starsift.session import stored
+
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are
 #: never more than HOT_SHARE hot keys and a table of them is safe to broadcast.
 HOT_SHARE = 10_000
@@ -29,7 +31,8 @@ def lookup(
 ) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (one row per key).
 
-    ``counts`` says how many rows each key has. Rows of hot keys meet their few
+    ``counts`` says how many rows each key has; it is read several times, so pass
+    a stored table if it is costly to compute. Rows of hot keys meet their few
     table rows by broadcast and are never shuffled; all other rows take part in
     an ordinary shuffled join, where no key can fill a task. The two parts are
     disjoint and together give every joined row.
@@ -63,7 +66,10 @@ def with_group_stats(
     """
     keys = list(keys)
     rows = df.dropna(subset=keys)
-    groups = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[c.alias(name) for name, c in stats.items()]
+    groups = stored(
+        rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"), *[c.alias(name) for name, c in stats.items()]
+        ),
+        "groups",
     )
     return lookup(rows, groups.drop("_n"), keys, counts=groups, n="_n", share=share)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from starsift.functions.hashing import bucket, hash32
 from starsift.operators.lookup import HOT_SHARE, hot_keys
+from starsift.session import stored
 
 #: Up to this many rows per group Spark prunes a rank filter map-side.
 GROUP_LIMIT = 1000
@@ -25,7 +26,7 @@ def _slices(df: DataFrame, key: str, by: Sequence[str], seed: int | None) -> Dat
     sliced = df.select(*by, _slice(hash32(key, seed)).alias("_slice"))
     sizes = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     order = W.partitionBy(*(by or [F.lit(0)])).orderBy("_slice")
-    return sizes.withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
+    return stored(sizes, "slices").withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
 
 
 def _slice(h: Column) -> Column:
@@ -64,24 +65,28 @@ def flag_first(
     return df.withColumn(flag, (n > 0) & F.coalesce(own <= cut, F.lit(True)))
 
 
-def _take_first_per_group(
+def _take_sliced(
     df: DataFrame, n: int, key: str, by: list[str], seed: int | None, share: int
 ) -> DataFrame:
-    """Up to ``n`` rows of each group.
+    """Up to ``n`` rows of each group (or of all rows).
 
     Rows of a hot group beyond the slice that holds its n-th row are dropped
     while scanning, and what is left is ranked slice by slice, so a hot group is
     spread over many tasks. Other groups are small and ranked whole.
     """
     slices = _slices(df, key, by, seed)
-    groups = slices.groupBy(*by).agg(F.sum("_n").alias("_n"))
     edges = _edges(slices, F.lit(n)).select(*by, F.col("_slice").alias("_edge"), "_before")
-    hot = hot_keys(groups, by, "_n", share).join(edges, by, "left").withColumn("_hot", F.lit(True))
-    h = hash32(key, seed)
-    rows = df.withColumn("_h", h).withColumn("_slice", _slice(F.col("_h")))
-    near = rows.join(F.broadcast(hot), by, "left").filter(
-        F.col("_edge").isNull() | (F.col("_slice") <= F.col("_edge"))
-    )
+    rows = df.withColumn("_h", hash32(key, seed)).withColumn("_slice", _slice(F.col("_h")))
+    if by:
+        groups = slices.groupBy(*by).agg(F.sum("_n").alias("_n"))
+        hot = hot_keys(groups, by, "_n", share).join(edges, by, "left")
+        marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), by, "left")
+    else:
+        edge = edges.select(F.struct("_edge", "_before")).scalar()
+        marked = rows.withColumns(
+            {"_edge": edge["_edge"], "_before": edge["_before"], "_hot": F.lit(True)}
+        )
+    near = marked.filter(F.col("_edge").isNull() | (F.col("_slice") <= F.col("_edge")))
     part = F.when(F.col("_hot"), F.col("_slice")).otherwise(-1)
     skip = F.when(F.col("_slice") == F.col("_edge"), F.col("_before")).otherwise(0)
     order = W.partitionBy(*by, "_part").orderBy("_h", key)
@@ -106,11 +111,10 @@ def take_first(
     if not by:
         if n <= GROUP_LIMIT:
             return df.orderBy(*order).limit(n)
-        flagged = flag_first(df, n, key=key, seed=seed)
-        return flagged.filter(F.col("chosen")).drop("chosen")
+        return _take_sliced(df, n, key, by, seed, share)
     rows = df.dropna(subset=by)
     if n > GROUP_LIMIT:
-        return _take_first_per_group(rows, n, key, by, seed, share)
+        return _take_sliced(rows, n, key, by, seed, share)
     rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 

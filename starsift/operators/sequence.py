@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from starsift.functions.vectors import pad_to
 from starsift.operators.lookup import HOT_SHARE, lookup, with_group_stats
+from starsift.operators.terms import document_frequency, term_frequency
+from starsift.session import stored
 
 
 def pad_to_longest(df: DataFrame, ids: str = "input_ids", fill: int = 0) -> DataFrame:
@@ -23,25 +25,34 @@ def pad_per_batch(
     return sized.withColumn(ids, pad_to(ids, F.col("_width"), fill)).drop("_width")
 
 
+def token_places(df: DataFrame, tokens: Column | str, *, key: str = "doc_id") -> DataFrame:
+    """One row per token position: key, pos, token_id."""
+    return df.select(key, F.posexplode(tokens).alias("pos", "token_id"))
+
+
 def embedding_lookup(
-    places: DataFrame,
+    df: DataFrame,
     table: DataFrame,
     *,
-    token: str = "token_id",
+    key: str = "doc_id",
+    ids: str = "token_ids",
     share: int = HOT_SHARE,
 ) -> DataFrame:
-    """Rows (key, position, token) with the vector of their token."""
-    counts = places.groupBy(token).agg(F.count(F.lit(1)).alias("n"))
-    return lookup(places, table, [token], counts=counts, share=share)
+    """key, pos, token_id and the vector of every token that is in ``table``."""
+    places = token_places(df, ids, key=key)
+    counts = stored(places.groupBy("token_id").agg(F.count(F.lit(1)).alias("n")), "tokens")
+    return lookup(places, table, ["token_id"], counts=counts, share=share)
 
 
 def _weighted_vectors(
-    places: DataFrame, table: DataFrame, key: str, token: str, share: int
+    df: DataFrame, table: DataFrame, key: str, ids: str, share: int
 ) -> DataFrame:
-    """One row per (document, distinct token) with its count and vector."""
-    tf = places.groupBy(key, token).agg(F.count(F.lit(1)).alias("_tf"))
-    counts = tf.groupBy(token).agg(F.count(F.lit(1)).alias("n"))
-    return lookup(tf, table, [token], counts=counts, share=share)
+    """One row per (document, distinct token): its count, its vector, the document's size."""
+    sized = df.withColumn("_size", F.size(ids))
+    tf = term_frequency(sized, key=key, tokens=ids, keep=["_size"])
+    tf = tf.withColumnRenamed("term", "token_id")
+    counts = document_frequency(df, key=key, tokens=ids).withColumnRenamed("term", "token_id")
+    return lookup(tf, table, ["token_id"], counts=stored(counts, "tokens"), n="df", share=share)
 
 
 def _pool(rows: DataFrame, key: str, dims: int, pool) -> DataFrame:
@@ -53,30 +64,21 @@ def _pool(rows: DataFrame, key: str, dims: int, pool) -> DataFrame:
 
 
 def mean_pool(
-    places: DataFrame, table: DataFrame, dims: int, *, key: str = "doc_id",
-    token: str = "token_id", share: int = HOT_SHARE,
+    df: DataFrame, table: DataFrame, dims: int, *, key: str = "doc_id",
+    ids: str = "token_ids", share: int = HOT_SHARE,
 ) -> DataFrame:
     """Mean vector over all token positions of a document.
 
-    Positions whose token has no vector count in the divisor.
+    Positions whose token has no vector count in the divisor; a document without
+    any known token has no row.
     """
-    rows = _weighted_vectors(places, table, key, token, share)
-    sums = _pool(rows, key, dims, lambda c: F.sum(c * F.col("_tf")))
-    sizes = places.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    zeros = F.array_repeat(F.lit(0.0).cast("double"), dims)
-    joined = sizes.join(sums, key, "left")
-    mean = F.transform(F.coalesce("pooled", zeros), lambda x: x / F.col("_size"))
-    return joined.select(key, mean.alias("pooled"))
+    rows = _weighted_vectors(df, table, key, ids, share)
+    return _pool(rows, key, dims, lambda c: F.sum(c * F.col("tf") / F.col("_size")))
 
 
 def max_pool(
-    places: DataFrame, table: DataFrame, dims: int, *, key: str = "doc_id",
-    token: str = "token_id", share: int = HOT_SHARE,
+    df: DataFrame, table: DataFrame, dims: int, *, key: str = "doc_id",
+    ids: str = "token_ids", share: int = HOT_SHARE,
 ) -> DataFrame:
     """Largest value per dimension over all token positions of a document."""
-    return _pool(_weighted_vectors(places, table, key, token, share), key, dims, F.max)
-
-
-def token_places(df: DataFrame, tokens: Column | str, *, key: str = "doc_id") -> DataFrame:
-    """One row per token position: key, pos, token."""
-    return df.select(key, F.posexplode(tokens).alias("pos", "token"))
+    return _pool(_weighted_vectors(df, table, key, ids, share), key, dims, F.max)

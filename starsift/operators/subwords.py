@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from starsift.functions.text import basic_words
 from starsift.operators.lookup import HOT_SHARE, lookup
+from starsift.session import stored
 
 # --- fixed values: marker pieces and limits of uncased subword models ---
 PAD, UNKNOWN, START, END, MASK = "[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"
@@ -74,7 +75,7 @@ def _encode_by_join(
     substrings are joined with the vocabulary, and the walk over a word's longest
     matches happens in its row."""
     places = df.select(key, F.posexplode(words).alias("_pos", "word"))
-    counts = places.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(places.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
     short = counts.filter(F.length("word") <= MAX_WORD_CHARS).select("word")
     parts = (
         short.select(

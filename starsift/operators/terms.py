@@ -6,11 +6,14 @@ document key and an array-of-tokens column.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starsift.operators.lookup import HOT_SHARE, drop_hot, lookup
+from starsift.session import stored
 
 
 def doc_terms(df: DataFrame, *, key: str = "review_id", tokens: str = "tokens") -> DataFrame:
@@ -28,14 +31,28 @@ def document_frequency(
 
 
 def term_frequency(
-    df: DataFrame, *, key: str = "review_id", tokens: str = "tokens"
+    df: DataFrame, *, key: str = "review_id", tokens: str = "tokens", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Occurrences of each term in each document: key, term, tf.
 
-    A document is one input row, so its repeats are combined in the map task.
+    A document is one row, so its tokens are counted inside the row, as runs of
+    the sorted array; nothing is shuffled. ``keep`` names columns to carry along.
     """
-    rows = df.select(key, F.explode(tokens).alias("term"))
-    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = df.select(key, *keep, F.sort_array(tokens).alias("_sorted"))
+    size, item = F.size("_sorted"), F.col("_sorted")
+    # Places (from 1) where a run begins; null for an empty document.
+    begins = F.filter(
+        F.sequence(F.lit(1), size), lambda i: (i == 1) | (item[i - 1] != item[i - 2])
+    )
+    rows = rows.withColumn("_begins", F.when(size > 0, begins))
+    runs = F.transform(
+        "_begins",
+        lambda begin, j: F.struct(
+            item[begin - 1].alias("term"),
+            (F.coalesce(F.get("_begins", j + 1), size + 1) - begin).cast("bigint").alias("tf"),
+        ),
+    )
+    return rows.select(key, *keep, F.inline(runs))
 
 
 def idf_weights(frequencies: DataFrame, n_docs, min_doc_freq: int = 0) -> DataFrame:
@@ -60,7 +77,7 @@ def tfidf(
     the lookup, so only rows of rarer terms are shuffled.
     """
     tf = term_frequency(df, key=key, tokens=tokens)
-    frequencies = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequencies = stored(document_frequency(df, key=key, tokens=tokens), "terms")
     n_docs = df.agg(F.count(F.lit(1))).scalar()
     weights = idf_weights(frequencies, n_docs, min_doc_freq)
     joined = lookup(tf, weights, ["term"], counts=frequencies, n="df", share=share)
@@ -93,7 +110,7 @@ def vocab_filter_rows(
     move only if the key list is too large for a broadcast.
     """
     terms = doc_terms(df, key=key, tokens=tokens)
-    frequencies = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequencies = stored(document_frequency(df, key=key, tokens=tokens), "terms")
     rest = drop_hot(terms, frequencies, ["term"], n="df", floor=min_df, share=share)
     rare = frequencies.filter(F.col("df") < min_df).select("term")
     failed = rest.join(rare, "term", "left_semi").select(key).distinct()
@@ -115,7 +132,7 @@ def vocab_filter_tokens(
     positions to keep are then one set difference of integers per document.
     """
     places = df.select(key, F.posexplode(tokens).alias("_pos", "term"))
-    frequencies = document_frequency(df, key=key, tokens=tokens)
+    frequencies = stored(document_frequency(df, key=key, tokens=tokens), "terms")
     rest = drop_hot(places, frequencies, ["term"], n="df", floor=min_df, share=share)
     rare = frequencies.filter(F.col("df") < min_df).select("term")
     rare_places = (

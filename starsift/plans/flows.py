@@ -56,10 +56,11 @@ def dense_reviews(
     rows = profile.min_length(profile.drop_nulls(df), "review_body", min_chars)
     if cap_rows:
         rows = density.pair_cap_topn(rows, max_per_pair)
+    counts = density.stored_pair_counts(rows)
     pairs = density.density_filter(
-        rows, max_per_pair=max_per_pair, min_product=min_product, min_customer=min_customer
+        counts, max_per_pair=max_per_pair, min_product=min_product, min_customer=min_customer
     )
-    return density.join_back_pair(rows, pairs, max_per_pair=max_per_pair)
+    return density.join_back_pair(rows, pairs, counts, max_per_pair=max_per_pair)
 
 
 def prepare_reviews(
