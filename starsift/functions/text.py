@@ -19,7 +19,7 @@ TAG = "<[^>\\n\\r\\u0085\\u2028\\u2029]*+>"
 URL = "(?U)\\s*https?://\\S+(\\s+|$)"
 EDGE_SPACE = "(?U)^\\s+|\\s+$"
 DIGITS = "(?U)\\d+"
-SPECIAL = "[^0-9a-zA-Z ]+"
+PLAIN = "[0-9a-zA-Z ]+"
 ASCII_SPACE = " \t\n\x0b\f\r"
 # --- end of fixed values ---
 
@@ -47,8 +47,12 @@ def remove_digits(c: Column | str) -> Column:
 
 
 def remove_special(c: Column | str) -> Column:
-    """Keep ASCII letters, digits and blanks; line ends vanish, so words may join."""
-    return F.regexp_replace(_col(c), SPECIAL, "")
+    """Keep ASCII letters, digits and blanks; line ends vanish, so words may join.
+
+    Joining the runs to keep is several times faster than replacing the others:
+    text has far fewer of them, and the negated class matches slowly.
+    """
+    return F.array_join(F.regexp_extract_all(_col(c), F.lit(PLAIN), F.lit(0)), "")
 
 
 def truncate(c: Column | str, max_chars: int) -> Column:
