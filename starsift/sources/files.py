@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +57,14 @@ def read_reviews(
     return df.repartition(partitions) if partitions else df
 
 
+def _too_many_fields(line: Column, sep: str, n: int) -> Column:
+    """Has the line more than ``n`` fields? Separators inside quotes do not count."""
+    mark = re.escape(sep)
+    bare = F.regexp_replace(line, f'(^|{mark})"(?:[^"]|"")*"', "$1")
+    many = [F.regexp_count(text, F.lit(mark)) >= n for text in (line, bare)]
+    return many[0] & many[1]
+
+
 def read_reviews_skip_long(
     spark: SparkSession,
     path: str,
@@ -67,17 +76,17 @@ def read_reviews_skip_long(
 ) -> DataFrame:
     """Scan that skips lines with too many fields and pads lines with too few.
 
-    ``DROPMALFORMED`` would drop both kinds. One more column than the file has
-    catches the surplus field of a long line, even if that field is empty.
+    ``DROPMALFORMED`` would drop both kinds, and the CSV source cannot tell an
+    empty surplus field from none, so long lines are dropped as text and the
+    rest is parsed. A header line is recognised by the column names.
     """
-    wide = T.StructType(
-        [T.StructField(f.name, T.StringType()) for f in schema.fields]
-        + [T.StructField("_surplus", T.StringType())]
-    )
-    reader = spark.read.schema(wide).option("columnPruning", False)
-    lines = reader.csv(path, sep=sep, header=header, escape='"', nullValue="\u0000")
-    fits = lines.filter(F.col("_surplus").isNull()).drop("_surplus")
-    clean = as_missing(fits, na_values)
+    lines = spark.read.text(path).filter(F.col("value") != "")
+    if header:
+        lines = lines.filter(F.col("value") != sep.join(schema.names))
+    fits = lines.filter(~_too_many_fields(F.col("value"), sep, len(schema.fields)))
+    texts = ", ".join(f"`{name}` string" for name in schema.names)
+    row = F.from_csv("value", texts, {"sep": sep, "escape": '"'})
+    clean = as_missing(fits.select(row.alias("_row")).select("_row.*"), na_values)
     return clean.select(
         *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]
     )

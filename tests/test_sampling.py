@@ -29,8 +29,8 @@ def brute_caps(data, n, seed):
     return {(k, lab) for lab, ks in groups.items() for _, k in sorted(ks)[:n]}
 
 
-@pytest.mark.parametrize("n", [5, 400, 1001, 1200])
-@pytest.mark.parametrize("share", [1, 3, 10_000])
+@pytest.mark.parametrize("n", [5, 1200])
+@pytest.mark.parametrize("share", [3, 10_000])
 def test_class_caps(rows, n, share):
     df, data = rows
     got = sampling.take_first(df, n, key="review_id", by=["label"], seed=9, share=share)
@@ -47,7 +47,7 @@ def test_sliced_caps_match_for_small_limits(rows, monkeypatch):
             assert sorted(map(tuple, got.collect())) == sorted(brute_caps(data, 37, None))
 
 
-@pytest.mark.parametrize("n", [0, 1, 10, 1500, 3008, 9999])
+@pytest.mark.parametrize("n", [0, 10, 1500, 9999])
 def test_global_limit_and_flag(rows, n):
     df, data = rows
     want = {k for _, k in sorted((h(k, 4), k) for k, _ in data)[:n]}
@@ -66,7 +66,7 @@ def test_balance_lists_classes(rows):
     }
 
 
-@pytest.mark.parametrize("share", [0.2, 0.5, 1.0])
+@pytest.mark.parametrize("share", [0.2, 1.0])
 def test_exact_split(rows, share):
     df, data = rows
     got = sampling.split_exact(df, share, seed=1).collect()
