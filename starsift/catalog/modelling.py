@@ -95,7 +95,7 @@ def mlp_predict(spark, sf_dir):
     labels = _label_model(train)
     features, clf = mlp_stages(labels.labels)
     train = labels.transform(train)
-    model = Pipeline(stages=[*features, clf]).fit(train)
+    model = models.fit_classifier(train, features, clf)
     return _scored(model, test, labels.labels)
 
 
@@ -103,8 +103,11 @@ def mlp_predict(spark, sf_dir):
 def rf_predict(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
     labels = _label_model(train)
-    stages = [*models.word2vec_stages(size=VECTOR_SIZE), models.forest(numTrees=20, maxDepth=5)]
-    model = Pipeline(stages=stages).fit(labels.transform(train))
+    model = models.fit_classifier(
+        labels.transform(train),
+        models.word2vec_stages(size=VECTOR_SIZE),
+        models.forest(numTrees=20, maxDepth=5),
+    )
     return _scored(model, test, labels.labels)
 
 
@@ -147,7 +150,7 @@ def model_roundtrip(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
     labels = _label_model(train)
     features, clf = mlp_stages(labels.labels)
-    model = Pipeline(stages=[*features, clf.setMaxIter(5)]).fit(labels.transform(train))
+    model = models.fit_classifier(labels.transform(train), features, clf.setMaxIter(5))
     loaded = models.save_and_load(model, scratch_path(spark, "model"))
     before = models.score(model, test).select("review_id", F.col("prediction").alias("before"))
     after = models.score(loaded, test).select("review_id", F.col("prediction").alias("after"))

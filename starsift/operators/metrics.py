@@ -52,43 +52,56 @@ def confusion_wide(
     return df.groupBy(label).agg(*cells)
 
 
-def classification_report(
-    df: DataFrame, label: str = "label", prediction: str = "prediction"
-) -> DataFrame:
-    """Per class: support, predicted, hits, precision, recall, f1 (0 where undefined)."""
-    return _per_class(confusion(df, label, prediction), [], label, prediction)
+def _ratio(a: Column, b: Column) -> Column:
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
 
+def _class_sums(
+    cells: DataFrame, by: list[str], label: str, prediction: str, **extra: Column
+) -> DataFrame:
+    """Confusion counts as one row per class: support, predicted, hits, precision,
+    recall, f1 (0 where undefined) and the sums of ``extra`` over the class's labels.
 
-def _per_class(cells: DataFrame, by: list[str], label: str, prediction: str) -> DataFrame:
-    n = F.col("n")
-    zero = F.lit(0).cast("bigint")
+    Every count enters once for its label and once for its prediction.
+    """
+    n, zero = F.col("n"), F.lit(0).cast("bigint")
     hit = F.when(F.col(label) == F.col(prediction), n).otherwise(zero)
+    as_label = {"support": n, "predicted": zero, "hits": hit, **extra}
+    as_guess = {"support": zero, "predicted": n, "hits": zero}
     sides = F.array(
         F.struct(
             F.col(label).cast("double").alias("class"),
-            n.alias("support"), zero.alias("predicted"), hit.alias("hits"),
+            *[c.alias(name) for name, c in as_label.items()],
         ),
         F.struct(
             F.col(prediction).cast("double").alias("class"),
-            zero.alias("support"), n.alias("predicted"), zero.alias("hits"),
+            *[as_guess.get(name, F.lit(0.0).cast("double")).alias(name) for name in as_label],
         ),
     )
-    parts = cells.select(*by, F.inline(sides))
-    sums = parts.groupBy(*by, "class").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in ("support", "predicted", "hits")]
+    sums = cells.select(*by, F.inline(sides)).groupBy(*by, "class").agg(
+        *[F.sum(name).alias(name) for name in as_label]
     )
+    nothing = F.lit(0.0).cast("double")
+    p = F.coalesce(_ratio(F.col("hits"), F.col("predicted")), nothing)
+    r = F.coalesce(_ratio(F.col("hits"), F.col("support")), nothing)
+    rates = sums.withColumns({"precision": p, "recall": r})
+    p, r = F.col("precision"), F.col("recall")
+    return rates.withColumn("f1", F.coalesce(_ratio(2 * p * r, p + r), nothing))
 
-    def ratio(a: Column, b: Column) -> Column:
-        return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0).cast("double"))
 
-    with_pr = sums.withColumns(
-        {
-            "precision": ratio(F.col("hits"), F.col("predicted")),
-            "recall": ratio(F.col("hits"), F.col("support")),
-        }
-    )
-    p, r = F.col("precision"), F.col("recall")
-    return with_pr.withColumn("f1", ratio(2 * p * r, p + r))
+def classification_report(
+    df: DataFrame, label: str = "label", prediction: str = "prediction"
+) -> DataFrame:
+    """Per class: support, predicted, hits, precision, recall, f1 (0 where undefined)."""
+    return _class_sums(confusion(df, label, prediction), [], label, prediction)
+
+
+def _weighted(name: str) -> Column:
+    return _ratio(F.sum(F.col(name) * F.col("support")), F.sum("support"))
+
+
+def weighted_f1(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    return classification_report(df, label, prediction).agg(_weighted("f1").alias("f1"))
 
 
 def metric_bundle(
@@ -102,31 +115,18 @@ def metric_bundle(
     """accuracy, weighted f1, mae and mape in one pass, per group if ``by`` is given."""
     by = list(by)
     cells = df.groupBy(*by, label, prediction).agg(F.count(F.lit(1)).alias("n"))
-    n, err = F.col("n"), abs_error(label, prediction)
-    rel = F.try_divide(err, F.col(label) + F.lit(float(shift)))
-    basics = cells.groupBy(*by).agg(
-        F.try_divide(
-            F.sum(F.when(F.col(label) == F.col(prediction), n).otherwise(0)).cast("double"),
-            F.sum("n").cast("double"),
-        ).alias("accuracy"),
-        F.try_divide(F.sum(err * n), F.sum("n").cast("double")).alias("mae"),
-        F.try_divide(
-            F.sum(rel * n), F.sum(F.when(rel.isNotNull(), n)).cast("double")
-        ).alias("mape"),
-    )
-    weighted = _per_class(cells, by, label, prediction).groupBy(*by).agg(
-        F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support").cast("double")).alias("f1")
+    n, err = F.col("n").cast("double"), abs_error(label, prediction).cast("double")
+    rel = F.try_divide(err, (F.col(label) + F.lit(float(shift))).cast("double"))
+    none = F.lit(0.0).cast("double")
+    classes = _class_sums(
+        cells, by, label, prediction,
+        _err=err * n, _rel=F.coalesce(rel * n, none), _known=F.when(rel.isNotNull(), n).otherwise(none),
     )
-    if by:
-        joined = basics.join(weighted, by)
-        return joined.select(*by, "accuracy", "f1", "mae", "mape")
-    return basics.select("accuracy", weighted.scalar().alias("f1"), "mae", "mape")
-
-
-def weighted_f1(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    report = classification_report(df, label, prediction)
-    return report.agg(
-        F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support").cast("double")).alias("f1")
+    return classes.groupBy(*by).agg(
+        _ratio(F.sum("hits"), F.sum("support")).alias("accuracy"),
+        _weighted("f1").alias("f1"),
+        _ratio(F.sum("_err"), F.sum("support")).alias("mae"),
+        _ratio(F.sum("_rel"), F.sum("_known")).alias("mape"),
     )
 
 

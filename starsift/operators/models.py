@@ -80,7 +80,7 @@ def word2vec_stages(
     size: int = WORD_VECTOR_SIZE,
     *,
     seed: int = 1234,
-    partitions: int = 4,
+    partitions: int = 8,
     min_count: int = 5,
     max_iter: int = 1,
 ) -> list:
@@ -133,6 +133,21 @@ def store_level() -> StorageLevel:
     return StorageLevel.MEMORY_AND_DISK
 
 
+def fit_classifier(df: DataFrame, features: Sequence, classifier: Estimator) -> PipelineModel:
+    """Feature stages and classifier fitted in turn, as one model.
+
+    A classifier passes over its input many times, so the features are computed
+    once and kept while it is fitted; memory pressure moves them to disk.
+    """
+    stages = Pipeline(stages=list(features)).fit(df)
+    columns = [classifier.getOrDefault(c) for c in ("featuresCol", "labelCol")]
+    train = stages.transform(df).select(*columns).persist(store_level())
+    try:
+        return PipelineModel(stages=[*stages.stages, classifier.fit(train)])
+    finally:
+        train.unpersist()
+
+
 @dataclass
 class TunedModel:
     """Result of ``cross_validate``."""
@@ -172,13 +187,14 @@ def cross_validate(
         labelCol=classifier.getOrDefault("labelCol"), metricName="accuracy"
     )
     metric = evaluator.getMetricName()
+    columns = [classifier.getOrDefault(c) for c in ("featuresCol", "labelCol")]
     maps, points = param_maps(classifier, grid), grid_points(grid)
     results = []
     for k in range(folds):
         train, held_out = fold_frames(df, k, fold)
         stages = Pipeline(stages=list(features)).fit(train)
-        train = stages.transform(train).persist(store_level())
-        held_out = stages.transform(held_out).persist(store_level())
+        train = stages.transform(train).select(*columns).persist(store_level())
+        held_out = stages.transform(held_out).select(*columns).persist(store_level())
         fits = classifier.fitMultiple(train, maps)
 
         def run(_, fits=fits, held_out=held_out, k=k):
@@ -198,7 +214,7 @@ def cross_validate(
     )
     means = mean_over_folds(metrics, values=[metric])
     best = best_point(means, metric=metric).first()["grid_id"]
-    fitted = Pipeline(stages=[*features, classifier.copy(maps[best])]).fit(df)
+    fitted = fit_classifier(df, features, classifier.copy(maps[best]))
     return TunedModel(metrics, means, best, points[best], fitted)
 
 

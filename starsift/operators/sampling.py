@@ -39,22 +39,8 @@ def _edges(slices: DataFrame, n: Column) -> DataFrame:
     return slices.filter((F.col("_before") < n) & (upto >= n))
 
 
-def flag_first(
-    df: DataFrame,
-    n: int | Column,
-    *,
-    key: str,
-    seed: int | None = None,
-    flag: str = "chosen",
-) -> DataFrame:
-    """All rows plus ``flag``: is the row among the first ``n`` by (hash of key, key)?
-
-    ``key`` must be unique. The rows are neither sorted nor shuffled: slice
-    counts tell where row ``n`` lies, that slice alone (one 2**CUT_BITS-th of
-    the rows) is ranked, and every row is compared with the cut found there.
-    """
-    n = F.lit(n) if isinstance(n, int) else n
-    edge = _edges(_slices(df, key, [], seed), n).select(F.struct("_slice", "_before")).scalar()
+def _flag(df: DataFrame, slices: DataFrame, n: Column, key: str, seed: int | None, flag: str):
+    edge = _edges(slices, n).select(F.struct("_slice", "_before")).scalar()
     keyed = df.select(hash32(key, seed).alias("_h"), F.col(key).alias("_key"))
     ranked = keyed.filter(_slice(F.col("_h")) == edge["_slice"]).withColumn(
         "_place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_h", "_key"))
@@ -65,6 +51,18 @@ def flag_first(
     return df.withColumn(flag, (n > 0) & F.coalesce(own <= cut, F.lit(True)))
 
 
+def flag_first(
+    df: DataFrame, n: int, *, key: str, seed: int | None = None, flag: str = "chosen"
+) -> DataFrame:
+    """All rows plus ``flag``: is the row among the first ``n`` by (hash of key, key)?
+
+    ``key`` must be unique. The rows are neither sorted nor shuffled: slice
+    counts tell where row ``n`` lies, that slice alone (one 2**CUT_BITS-th of
+    the rows) is ranked, and every row is compared with the cut found there.
+    """
+    return _flag(df, _slices(df, key, [], seed), F.lit(n), key, seed, flag)
+
+
 def _take_sliced(
     df: DataFrame, n: int, key: str, by: list[str], seed: int | None, share: int
 ) -> DataFrame:
@@ -145,9 +143,9 @@ def split_exact(
     df: DataFrame, test_share: float = 0.2, *, key: str = "review_id", seed: int | None = None
 ) -> DataFrame:
     """Column ``split`` with exactly ceil(test_share * rows) test rows."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    n_test = F.ceil(total * F.lit(float(test_share)))
-    flagged = flag_first(df, n_test, key=key, seed=seed, flag="_test")
+    slices = _slices(df, key, [], seed)
+    n_test = F.ceil(slices.agg(F.sum("_n")).scalar() * F.lit(float(test_share)))
+    flagged = _flag(df, slices, n_test, key, seed, "_test")
     return flagged.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
