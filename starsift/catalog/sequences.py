@@ -11,6 +11,7 @@ from starsift.functions import text as tx
 from starsift.functions.hashing import hash32
 from starsift.functions.vectors import argmax, dense, softmax
 from starsift.operators import models, sequence, subwords
+from starsift.session import stored
 
 DIMS = 64
 
@@ -79,7 +80,7 @@ def wordpiece_encode(spark, sf_dir):
       from enc, width""",
 )
 def pad_to_longest(spark, sf_dir):
-    return _ids_text(sequence.pad_to_longest(encoded(spark, sf_dir)))
+    return _ids_text(sequence.pad_to_longest(stored(encoded(spark, sf_dir), "ids")))
 
 
 @query(
@@ -90,7 +91,7 @@ def pad_to_longest(spark, sf_dir):
       from enc join b on batch = doc_id // 16""",
 )
 def pad_per_batch(spark, sf_dir):
-    rows = encoded(spark, sf_dir, 512).withColumn(
+    rows = stored(encoded(spark, sf_dir, 512), "ids").withColumn(
         "batch", F.floor(F.col("doc_id") / 16).cast("bigint")
     )
     return _ids_text(sequence.pad_per_batch(rows, "batch"))
@@ -106,7 +107,8 @@ def with_token_ids(spark, sf_dir):
     docs = view(spark, sf_dir, "documents").select("doc_id", "text")
     size = view(spark, sf_dir, "embeddings").agg(F.count(F.lit(1))).scalar()
     ids = F.transform(tx.word_tokens("text"), lambda t: F.pmod(hash32(t), F.col("_size")))
-    return docs.withColumn("_size", size).select("doc_id", ids.alias("token_ids"))
+    rows = docs.withColumn("_size", size).select("doc_id", ids.alias("token_ids"))
+    return stored(rows, "ids")
 
 
 def vectors(spark, sf_dir):

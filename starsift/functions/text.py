@@ -127,7 +127,11 @@ def _accent_table() -> tuple[str, str]:
 CONTROL = "[\\p{Cc}\\p{Cf}&&[^\\t\\n\\r]]"
 COMBINING = "\\p{Mn}"
 _PUNCT = "\\p{P}$+<=>^`|~"
-WORD_OR_PUNCT = f"[{_PUNCT}]|\\p{{IsHan}}|[^\\s\\p{{Z}}{_PUNCT}\\p{{IsHan}}]+"
+# A word is a run of anything but white space, punctuation and Han signs; plain
+# letters and digits come first because that class matches fastest.
+WORD_OR_PUNCT = (
+    f"(?:[a-z0-9]++|[^\\s\\p{{Z}}{_PUNCT}\\p{{IsHan}}a-z0-9])++|[{_PUNCT}]|\\p{{IsHan}}"
+)
 # --- end of fixed values ---
 
 

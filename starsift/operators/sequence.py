@@ -1,4 +1,8 @@
-"""Token-id sequences: padding, embedding lookup and pooling."""
+"""Token-id sequences: padding, embedding lookup and pooling.
+
+These operators read their input more than once; pass a stored frame if its ids
+are costly to make.
+"""
 
 from __future__ import annotations
 
