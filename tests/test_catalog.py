@@ -4,13 +4,12 @@ import pytest
 from check import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
-
-SQL = oracle_sql()
+from starsift.catalog import QUERIES, SQL
 
 
 def test_registry():
-    assert set(SQL) <= set(queries())
-    only_rows = set(queries()) - set(SQL)
+    assert set(SQL) <= set(QUERIES) and set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
+    only_rows = set(QUERIES) - set(SQL)
     assert only_rows == {
         "hashing_tf", "word2vec_doc", "feature_pipeline", "mlp_predict", "rf_predict", "cv_mlp",
         "cv_rf", "best_params", "model_roundtrip",
