@@ -2,18 +2,111 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from starsift.llm import forest
+from starsift.llm import bpe, forest, licenses, packing, pivots, quality, secrets, sharding, suffix_tree, toxicity
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return pivots.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels outside the held-out fold."""
+    docs = _documents(spark, sf_dir)
+    held = toxicity.held_out("doc_id")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_documents(spark, sf_dir), 16)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = bpe.shared_codec(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.round_trip_digests(_documents(spark, sf_dir), codec)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    sized = docs.select("doc_id", "source", packing.word_count().alias("n_words"), packing.text_cluster().alias("cluster"))
+    return packing.pack(sized, size="n_words", cluster="cluster")
+
+
 def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+    return forest.near_duplicates(_documents(spark, sf_dir), words=2, percent=80)
+
+
+def op7_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
+def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    rules = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    s = F.col("stats")
+    return quality.judge(docs.select("doc_id", "text"), rules).select(
+        "doc_id", *[s[c].alias(c) for c in quality.BASE], "base_failed", "kept"
+    )
+
+
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return secrets.digests(docs, secrets.train(secrets.labelled_counts(docs)))
+
+
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    tree, counts = suffix_tree.grow(docs.where(suffix_tree.training()).select("text"))
+    return suffix_tree.score(docs, tree, counts)
+
 
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_permutation_index, op2_ftrl_toxicity, op3_lpt_sharding, op4_byte_bpe, op5_best_fit_packing,
+        op6_minhash_forest, op7_license_index, op8_decision_list, op9_markov_secrets, op10_suffix_tree,
+    )
+}
 
-QUERIES = {f.__name__: f for f in (op6_minhash_forest,)}
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_minhash_forest": r"""
+        with recursive words as (
+            select doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), x -> x <> '') as w
+            from documents
+        ), sets as (
+            select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+                else list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) end as s
+            from words
+        ), grams as (select doc_id, len(s) as n, unnest(s) as g from sets
+        ), links as (
+            select a.doc_id as x, b.doc_id as y from grams a join grams b
+            on a.g = b.g and a.doc_id <> b.doc_id and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n
+            group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reach as (
+            select x as doc_id, y from links union select l.x, r.y from links l join reach r on l.y = r.doc_id
+        ), low as (select doc_id, min(y) as y from reach group by doc_id)
+        select s.doc_id, len(s.s) as n_shingles, coalesce(least(s.doc_id, low.y), s.doc_id) as component_id,
+            coalesce(least(s.doc_id, low.y), s.doc_id) = s.doc_id as kept
+        from sets s left join low using (doc_id)
+    """,
+}
