@@ -29,7 +29,7 @@ from starsift.llm.words import utf8
 #: Entries that each memo of a task holds before it is emptied.
 MEMO_ENTRIES = 600_000
 #: Places where no match of the usual split pattern can reach across.
-_JOINT = re.compile(r"(?<=\S) (?=\S)")
+_JOINT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class _Follows(dict):
