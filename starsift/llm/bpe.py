@@ -27,17 +27,16 @@ from pyspark.sql import functions as F
 from starsift.llm.words import utf8
 
 #: Entries that each memo of a task holds before it is emptied.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
 #: Places where no match of the usual split pattern can reach across.
 _JOINT = re.compile(r"(?<=\S)(?= \S)")
 
 
-class _Follows(dict):
-    """(token before << 32 | token) -> whether the merges of both bytes give the two back."""
+class _Seams:
+    """Whether the merges of two tokens' bytes give the two back."""
 
-    def __init__(self, ranks: dict[bytes, int], bytes_of: dict[int, bytes], limit: int):
-        super().__init__()
-        self.ranks, self.bytes_of, self.limit = ranks, bytes_of, limit
+    def __init__(self, ranks: dict[bytes, int], bytes_of: dict[int, bytes]):
+        self.ranks, self.bytes_of = ranks, bytes_of
         self.spines: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
 
     def spine(self, token: int, left: bool) -> list[tuple[bytes, float]]:
@@ -56,13 +55,7 @@ class _Follows(dict):
             self.spines[token, left] = found
         return found
 
-    def __missing__(self, pair: int) -> bool:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[pair] = self._holds(pair >> 32, pair & 0xFFFFFFFF)
-        return found
-
-    def _holds(self, before: int, token: int) -> bool:
+    def holds(self, before: int, token: int) -> bool:
         own = self.spine(token, True)
         if before == START or not own:
             return bool(own)
@@ -83,6 +76,18 @@ class _Follows(dict):
                 to += 1
 
 
+class _After(dict):
+    """token before -> whether ``token`` may follow it; at most one entry per token."""
+
+    def __init__(self, token: int, seams: _Seams):
+        super().__init__()
+        self.token, self.seams = token, seams
+
+    def __missing__(self, before: int) -> bool:
+        found = self[before] = self.seams.holds(before, self.token)
+        return found
+
+
 def halves(piece: bytes, ranks: dict[bytes, int]) -> tuple[bytes, ...] | None:
     """The two parts whose merge makes a token; itself if one byte; None if its merges do not make it."""
     if len(piece) == 1:
@@ -104,7 +109,7 @@ START = 0x7FFFFFFF
 class Transducer:
     """Deterministic transducer from the bytes of a piece to its tokens, built as it is used."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = MEMO_ENTRIES):
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: piece for piece, rank in ranks.items()}
         self.length = {rank: len(piece) for piece, rank in ranks.items()}
@@ -121,12 +126,13 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = self.trie[node][byte]
             self.ends[node] = rank
-        self.follows = _Follows(ranks, self.bytes_of, 2 * limit)
+        seams = _Seams(ranks, self.bytes_of)
+        self.after = {rank: _After(rank, seams) for rank in self.bytes_of}
         self.fallback: list[int] = [-1] * len(self.trie)
         #: state -> byte -> next state, filled on demand (at most trie nodes x 256)
         self.moves: list[dict[int, int]] = [{} for _ in self.trie]
-        #: state -> tokens that end in it, longest first, with their lengths
-        self.closing: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.trie)
+        #: state -> tokens that end in it, longest first: token, length, what it may follow
+        self.closing: list[tuple[tuple[int, int, _After], ...] | None] = [None] * len(self.trie)
 
     def _move(self, state: int, byte: int) -> int:
         """The longest token beginning at the end of the bytes read, after one more byte."""
@@ -147,12 +153,12 @@ class Transducer:
             raise AssertionError("a state is entered by a move only")
         return self.fallback[state] if state else 0
 
-    def _closing(self, state: int) -> tuple[tuple[int, int], ...]:
+    def _closing(self, state: int) -> tuple[tuple[int, int, _After], ...]:
         found = self.closing[state]
         if found is None:
             shorter = self._closing(self._fallback(state)) if state else ()
             own = self.ends[state]
-            found = self.closing[state] = ((own, self.length[own]), *shorter) if own >= 0 else shorter
+            found = self.closing[state] = ((own, self.length[own], self.after[own]), *shorter) if own >= 0 else shorter
         return found
 
     def _back(self, ended: list[int], start: int, at: int) -> list[int]:
@@ -176,7 +182,7 @@ class Transducer:
     def stream(self, pieces: Iterator[bytes], window: int = 4096) -> Iterator[list[int]]:
         """Tokens of one piece that comes in parts; holds back what is not yet agreed on."""
         state, ended, at = 0, [START], 0
-        moves, closing, follows = self.moves, self.closing, self.follows
+        moves, closing = self.moves, self.closing
         for part in pieces:
             for byte in part:
                 try:
@@ -184,8 +190,8 @@ class Transducer:
                 except KeyError:
                     state = self._move(state, byte)
                 at += 1
-                for token, size in closing[state]:
-                    if follows[ended[at - size] << 32 | token]:
+                for token, size, after in closing[state]:
+                    if after[ended[at - size]]:
                         break
                 else:
                     raise ValueError("the rank table lacks a single byte")
@@ -201,14 +207,14 @@ class Transducer:
 
     def _short(self, piece: bytes) -> list[int]:
         """``stream`` for a piece that is at hand and short."""
-        moves, closing, follows, length = self.moves, self.closing, self.follows, self.length
+        moves, closing, length = self.moves, self.closing, self.length
         state, ended, at = 0, [START], 0
         for byte in piece:
             to = moves[state].get(byte)
             state = self._move(state, byte) if to is None else to
             at += 1
-            for token, size in closing[state]:
-                if follows[ended[at - size] << 32 | token]:
+            for token, size, after in closing[state]:
+                if after[ended[at - size]]:
                     break
             else:
                 raise ValueError("the rank table lacks a single byte")
@@ -242,9 +248,11 @@ class Codec:
         return {"ranks": self.ranks, "pattern": self.pattern, "limit": self.limit, "transducer": None}
 
     def _open(self) -> None:
-        self.transducer = Transducer(self.ranks, self.limit)
+        self.transducer = Transducer(self.ranks)
         self.split = regex.compile(self.pattern)
+        # Two generations each: what the older one still serves moves to the younger.
         self.chunks: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, list[int]] = {}
         self.vocabulary = [self.transducer.bytes_of.get(i, b"") for i in range(max(self.ranks.values()) + 1)]
 
@@ -272,20 +280,22 @@ class Codec:
         if not text:
             return np.zeros(0, dtype="<u4")
         if len(self.chunks) > self.limit:
-            self.chunks.clear()
+            self.chunks, self.older = {}, self.chunks
         if len(self.pieces) > self.limit:
             self.pieces.clear()
-        chunks, known = self.chunks, []
-        for part in text.split(" "):
-            found = chunks.get(part)
+        chunks, older, parts = self.chunks, self.older, text.split(" ")
+        known = list(map(chunks.get, parts))
+        for at in [at for at, found in enumerate(known) if found is None]:
+            part = parts[at]
+            found = chunks.get(part)  # it may have come up before in this text
             if found is None:
                 if not part or part[0].isspace() or part[-1].isspace():
                     return self._apart(text)
-                found = self._chunk(" " + part)
+                found = older.get(part) or self._chunk(" " + part)
                 if len(part) < 64:
                     chunks[part] = found
-            known.append(found)
-        known[0] = self._chunk(text.split(" ", 1)[0])
+            known[at] = found
+        known[0] = self._chunk(parts[0])
         return np.fromiter(chain.from_iterable(known), dtype="<u4")
 
     def _apart(self, text: str) -> np.ndarray:
