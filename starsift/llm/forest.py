@@ -21,7 +21,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from starsift.llm.components import components
 from starsift.llm.words import WordHashes, mix, shingle_set, utf8
@@ -35,14 +34,14 @@ TREES = 40
 DEPTH = 4
 #: Further values by which a region is sorted.
 TAIL = 12
-#: Of the further values, how many candidates must share wherever they stand.
-AGREE = 5
+#: Of the further values, how many candidates must share wherever they stand, in each pass.
+AGREE, AGREE_FURTHER = 5, 7
 #: Successors in an order that a text is compared with.
 NEIGHBOURS = 4
 #: Successors it is compared with in the second pass, if they are in other groups.
 REACH = 64
-#: Candidates of a text that are confirmed first; the others only across groups.
-FIRST = 2
+#: Bits of the filter that finds the documents whose sets are needed.
+FILTER_BITS = 1 << 26
 _SEED = 20240229
 _CHUNK = 4096
 
@@ -110,16 +109,17 @@ def _trees(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n", "sig", "root").mapInPandas(rows, schema)
 
 
-def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int, agree: int) -> np.ndarray:
     sizes = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-    return sizes & ((x == y).sum(axis=1) >= AGREE)
+    return sizes & ((x == y).sum(axis=1) >= agree)
 
 
-def _pairs(trees: DataFrame, percent: int, reach: int, typical: bool) -> DataFrame:
+def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, typical: bool) -> DataFrame:
     """Candidate pairs of different roots from the sorted orders.
 
     Each row with its next ``reach`` rows and, if ``typical``, the members of a
-    crowded region with the one that shares most values with the others.
+    crowded region with the one that shares most values with the others. Counted are the
+    meetings of a pair and those in which either was the typical one.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,14 +130,15 @@ def _pairs(trees: DataFrame, percent: int, reach: int, typical: bool) -> DataFra
             kept = batch.iloc[-reach:]
             region, ids, n, root = (batch[c].to_numpy() for c in ("region", "id", "n", "root"))
             tail = np.frombuffer(b"".join(batch.suffix), dtype=">u2").reshape(-1, TAIL)
-            left, right = [ids[:0]], [ids[:0]]
+            left, right, middles = [ids[:0]], [ids[:0]], [np.zeros(0, dtype=bool)]
             for step in range(1, min(reach, len(ids) - 1) + 1):
                 near = np.flatnonzero((region[:-step] == region[step:]) & (root[:-step] != root[step:]))
                 if not len(near):
                     continue
-                near = near[_close(tail[near], tail[near + step], n[near], n[near + step], percent)]
+                near = near[_close(tail[near], tail[near + step], n[near], n[near + step], percent, agree)]
                 left.append(ids[near])
                 right.append(ids[near + step])
+                middles.append(np.zeros(len(near), dtype=bool))
             edges = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
             for start, end in zip(edges[:-1], edges[1:]):
                 if not typical or end - start <= 2 * reach:
@@ -150,31 +151,49 @@ def _pairs(trees: DataFrame, percent: int, reach: int, typical: bool) -> DataFra
                 middle = int(np.argmax(votes))
                 centre = np.broadcast_to(part[middle], part.shape)
                 own = n[start:end]
-                close = _close(part, centre, own, np.full_like(own, own[middle]), percent)
+                close = _close(part, centre, own, np.full_like(own, own[middle]), percent, agree)
                 others = ids[start:end][close]
                 left.append(np.full(len(others), ids[start + middle]))
                 right.append(others)
-            a, b = np.concatenate(left), np.concatenate(right)
-            out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-            yield out[out.a != out.b].groupby(["a", "b"]).size().reset_index(name="met")
+                middles.append(np.ones(len(others), dtype=bool))
+            a, b, middle = np.concatenate(left), np.concatenate(right), np.concatenate(middles)
+            out = pd.DataFrame({
+                "a": np.minimum(a, b), "b": np.maximum(a, b), "met": 1,
+                "by_a": (middle & (a <= b)).astype(np.int64), "by_b": (middle & (a > b)).astype(np.int64),
+            })
+            yield out[out.a != out.b].groupby(["a", "b"], as_index=False).sum()
 
     ordered = trees.repartitionByRange("region", "suffix", "id").sortWithinPartitions("region", "suffix", "id")
-    found = ordered.mapInPandas(rows, "a long, b long, met long")
-    return found.groupBy("a", "b").agg(F.sum("met").alias("met"))
+    found = ordered.mapInPandas(rows, "a long, b long, met long, by_a long, by_b long")
+    return found.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("met", "by_a", "by_b")])
 
 
-def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """Whole shingle sets of the documents in ``needed (id)``."""
+def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Whole shingle sets of the documents in ``pairs``, and of a few others.
+
+    The ids needed set bits of a filter of ``FILTER_BITS`` bits (which bounds what is
+    broadcast), so texts are neither shuffled nor joined. The more ids, the more
+    others pass; a join on the id drops them.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = (
+        pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(bit.alias("bit"))
+        .groupBy(F.expr("shiftright(bit, 6)").alias("at"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask")).toPandas()
+    )
+    table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    table[words["at"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, bits = WordHashes(), shared.value.view(np.uint64)
         for batch in batches:
+            at = batch.bit.to_numpy(np.int64)
+            batch = batch[((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)]
             grams = [shingle_set(hashes.of(utf8(t).lower().split()), size).tobytes() for t in batch.text]
-            yield pd.DataFrame({"id": batch.doc_id, "grams": grams})
+            yield pd.DataFrame({"id": batch.id, "grams": grams})
 
-    own = docs.select("doc_id", "text").join(
-        needed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"
-    )
+    own = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").withColumn("bit", bit)
     return own.mapInPandas(rows, "id long, grams binary")
 
 
@@ -195,6 +214,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(linked("x", "y")).select("a", "b").distinct()
 
 
+def _likely(pairs: DataFrame) -> DataFrame:
+    """For each text the pair that met most, and the typical text with the most followers it met."""
+
+    def sides(df: DataFrame) -> DataFrame:
+        one = df.select(F.col("a").alias("id"), F.col("b").alias("other"), "met", F.col("by_b").alias("by"))
+        return one.union(df.select(F.col("b").alias("id"), F.col("a").alias("other"), "met", F.col("by_a").alias("by")))
+
+    both = sides(pairs)
+    led = both.where("by > 0")
+    followers = led.groupBy(F.col("other")).agg(F.count("*").alias("followers"))
+    first = F.struct(F.col("met"), -F.col("other"))
+    lead = F.struct(F.col("followers"), -F.col("other"))
+    nearest = both.groupBy("id").agg((-F.max(first)["col2"]).alias("other"))
+    leaders = led.join(followers, "other").groupBy("id").agg((-F.max(lead)["col2"]).alias("other"))
+    return nearest.union(leaders).select(
+        F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")
+    ).distinct()
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
@@ -237,20 +275,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         "classes",
     )
     alone = classes.withColumn("root", F.col("id"))
-    pairs = stored(_pairs(_trees(alone), percent, NEIGHBOURS, True), "pairs")
-    sets = stored(_sets(docs, _ends(pairs), words), "sets")
-
-    def ranked(one: str) -> DataFrame:
-        best = Window.partitionBy(one).orderBy(F.col("met").desc(), "a", "b")
-        return pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= FIRST)
-
-    first = ranked("a").select("a", "b").union(ranked("b").select("a", "b")).distinct()
-    roots = components(stored(_confirmed(first, sets, percent), "links"))
+    pairs = stored(_pairs(_trees(alone), percent, NEIGHBOURS, AGREE, True), "pairs")
+    sets = stored(_sets(docs, pairs, words), "sets")
+    roots = components(stored(_confirmed(_likely(pairs), sets, percent), "links"))
     # A pair inside one group can add nothing; the others are confirmed as well.
     roots = _merged(roots, pairs, sets, percent)
-    grouped = _with_root(classes, roots, "id", "root")
-    further = stored(_pairs(_trees(grouped), percent, REACH, False), "pairs")
-    roots = _merged(roots, further, stored(_sets(docs, _ends(further), words), "sets"), percent)
+    # Whoever stands in a crowded region has met someone there.
+    crowded = _with_root(classes.join(_ends(pairs), "id", "left_semi"), roots, "id", "root")
+    further = stored(_pairs(_trees(crowded), percent, REACH, AGREE_FURTHER, False), "pairs")
+    roots = _merged(roots, further, sets, percent)
     named = stored(_with_root(classes, roots, "id", "root").select("key", "root"), "groups")
     group = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
     return (
