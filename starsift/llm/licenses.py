@@ -168,10 +168,12 @@ def scan(docs: DataFrame, phrases: dict | None = None, templates: dict | None =
         ],
         F.lit(False),
     )
-    near = found.where(likely).select("text_key").distinct()
-    texts = base.withColumn("text_key", F.xxhash64("text")).join(near, "text_key", "left_semi").select("text_key", "s")
+    texts = (
+        base.withColumn("known", F.array_intersect(F.split(F.trim(F.col("s")), " +"), vocabulary)).where(likely)
+        .select(F.xxhash64("text").alias("text_key"), "s").dropDuplicates(["text_key"])
+    )
     hits = (
-        texts.dropDuplicates(["text_key"])
+        texts
         .select("text_key", F.posexplode(F.split(F.trim("s"), " +")).alias("at", "word"))
         .join(F.broadcast(rare), "word")
         .groupBy("text_key", "label", "of", (F.col("at") - F.col("place")).alias("shift"))
@@ -188,7 +190,7 @@ def scan(docs: DataFrame, phrases: dict | None = None, templates: dict | None =
         ],
     )
     verified = (
-        hits.join(texts.dropDuplicates(["text_key"]), "text_key").where(mandatory)
+        hits.join(texts, "text_key").where(mandatory)
         .groupBy("text_key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     )
     none = F.array().cast("array<string>")
