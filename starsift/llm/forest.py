@@ -39,7 +39,9 @@ AGREE, AGREE_FURTHER = 5, 7
 #: Successors in an order that a text is compared with.
 NEIGHBOURS = 4
 #: Successors it is compared with in the second pass, if they are in other groups.
-REACH = 64
+REACH = 16
+#: In the second pass, how many values of the whole signatures must agree: three deviations below 80 %.
+LEAST_AGREED = 89
 #: Bits of the filter that finds the documents whose sets are needed.
 FILTER_BITS = 1 << 26
 _SEED = 20240229
@@ -82,8 +84,11 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, key binary, sig binary")
 
 
-def _trees(classes: DataFrame) -> DataFrame:
-    """One row per text class and tree: its region, the values that sort it, size and id."""
+def _trees(classes: DataFrame, whole: bool) -> DataFrame:
+    """One row per text class and tree: its region, the values that sort it, size and id.
+
+    ``whole`` adds one byte of every value of the signature.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng(_SEED + 1)
@@ -97,7 +102,9 @@ def _trees(classes: DataFrame) -> DataFrame:
                     region = mix(region * np.uint64(65537) + head[:, at])
                 tail = np.ascontiguousarray(signs[:, order[DEPTH:]]).tobytes()
                 width = 2 * TAIL
+                marks = np.ascontiguousarray((signs & 0xFF).astype(np.uint8)).tobytes() if whole else b""
                 yield pd.DataFrame({
+                    "marks": [marks[i : i + VALUES] for i in range(0, len(marks), VALUES)] or [b""] * len(batch),
                     "region": region.view(np.int64),
                     "suffix": [tail[i : i + width] for i in range(0, len(tail), width)],
                     "id": batch.id.to_numpy(),
@@ -105,7 +112,7 @@ def _trees(classes: DataFrame) -> DataFrame:
                     "root": batch.root.to_numpy(),
                 })
 
-    schema = "region long, suffix binary, id long, n long, root long"
+    schema = "marks binary, region long, suffix binary, id long, n long, root long"
     return classes.select("id", "n", "sig", "root").mapInPandas(rows, schema)
 
 
@@ -114,12 +121,13 @@ def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent:
     return sizes & ((x == y).sum(axis=1) >= agree)
 
 
-def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, typical: bool) -> DataFrame:
+def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool) -> DataFrame:
     """Candidate pairs of different roots from the sorted orders.
 
-    Each row with its next ``reach`` rows and, if ``typical``, the members of a
-    crowded region with the one that shares most values with the others. Counted are the
-    meetings of a pair and those in which either was the typical one.
+    Each row with its next ``reach`` rows; in the ``first`` pass also the members of a
+    crowded region with the one that shares most values with the others, in the
+    second only pairs whose whole signatures agree enough. Counted are the meetings of
+    a pair and those in which either was the typical one.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,18 +138,21 @@ def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, typical: bool
             kept = batch.iloc[-reach:]
             region, ids, n, root = (batch[c].to_numpy() for c in ("region", "id", "n", "root"))
             tail = np.frombuffer(b"".join(batch.suffix), dtype=">u2").reshape(-1, TAIL)
+            marks = None if first else np.frombuffer(b"".join(batch.marks), dtype=np.uint8).reshape(-1, VALUES)
             left, right, middles = [ids[:0]], [ids[:0]], [np.zeros(0, dtype=bool)]
             for step in range(1, min(reach, len(ids) - 1) + 1):
                 near = np.flatnonzero((region[:-step] == region[step:]) & (root[:-step] != root[step:]))
                 if not len(near):
                     continue
                 near = near[_close(tail[near], tail[near + step], n[near], n[near + step], percent, agree)]
+                if not first:
+                    near = near[(marks[near] == marks[near + step]).sum(axis=1) >= LEAST_AGREED]
                 left.append(ids[near])
                 right.append(ids[near + step])
                 middles.append(np.zeros(len(near), dtype=bool))
             edges = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
             for start, end in zip(edges[:-1], edges[1:]):
-                if not typical or end - start <= 2 * reach:
+                if not first or end - start <= 2 * reach:
                     continue
                 part = tail[start:end]
                 votes = np.zeros(end - start, dtype=np.int64)
@@ -275,14 +286,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         "classes",
     )
     alone = classes.withColumn("root", F.col("id"))
-    pairs = stored(_pairs(_trees(alone), percent, NEIGHBOURS, AGREE, True), "pairs")
+    pairs = stored(_pairs(_trees(alone, False), percent, NEIGHBOURS, AGREE, True), "pairs")
     sets = stored(_sets(docs, pairs, words), "sets")
     roots = components(stored(_confirmed(_likely(pairs), sets, percent), "links"))
     # A pair inside one group can add nothing; the others are confirmed as well.
     roots = _merged(roots, pairs, sets, percent)
     # Whoever stands in a crowded region has met someone there.
     crowded = _with_root(classes.join(_ends(pairs), "id", "left_semi"), roots, "id", "root")
-    further = stored(_pairs(_trees(crowded), percent, REACH, AGREE_FURTHER, False), "pairs")
+    further = stored(_pairs(_trees(crowded, True), percent, REACH, AGREE_FURTHER, False), "pairs")
     roots = _merged(roots, further, sets, percent)
     named = stored(_with_root(classes, roots, "id", "root").select("key", "root"), "groups")
     group = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
