@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows in a block, and queries in a block.
-ROW_BLOCK, QUERY_BLOCK = 2048, 512
+ROW_BLOCK, QUERY_BLOCK = 8192, 512
 #: Vectors the pivots are fitted on.
 SAMPLE_ROWS = 10_000
 _ROUNDS = 8
@@ -115,8 +115,8 @@ def nearest(
         for pivot in range(len(shared.value)):
             row, place = np.nonzero(posted == pivot)
             files.append((row, place))
-        out = []
-        for one, vector, near in zip(asked_ids, q, order(q, False)):
+        out, products = [], q @ x.T
+        for one, vector, near, rough in zip(asked_ids, q, order(q, False), products):
             closeness = np.zeros(len(ids), dtype=np.int32)  # depth * (depth + 1) less the footrule
             for place, pivot in enumerate(near):
                 row, at = files[pivot]
@@ -124,11 +124,17 @@ def nearest(
             met = np.flatnonzero((closeness > 0) & (ids != one))
             if not len(met):
                 continue
-            best = np.argsort(-closeness[met], kind="stable")[: max(k, math.ceil(share * len(met)))]
-            found = np.sort(met[best])
-            score = (x[found] * vector).sum(axis=1)
-            top = np.lexsort((ids[found], -score))[:k]
-            out.append(pd.DataFrame({"query_id": one, "vec_id": ids[found][top], "score": score[top]}))
+            close, budget = closeness[met], max(k, math.ceil(share * len(met)))
+            if budget < len(met):  # ties at the edge are all compared
+                met = met[close >= np.partition(close, len(met) - budget)[len(met) - budget]]
+            # The rough products pick what could be among the k; those are summed again, alike for equal vectors.
+            score = rough[met]
+            if len(met) > k:
+                edge = np.partition(score, len(met) - k)[len(met) - k]
+                met = met[score >= edge - 1e-9 * max(1.0, span)]
+            score = (x[met] * vector).sum(axis=1)
+            top = np.lexsort((ids[met], -score))[:k]
+            out.append(pd.DataFrame({"query_id": one, "vec_id": ids[met][top], "score": score[top]}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in names})
 
     left = asked.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")) \

@@ -19,7 +19,7 @@ from starsift.llm.words import GOLDEN, WordHashes, mix, utf8
 
 BITS = 20
 #: Labelled rows the fit may use.
-MAX_ROWS = 20_000
+MAX_ROWS = 12_000
 #: FTRL-proximal: rate, smoothing of the rate, L1 and L2 strength, passes, weight of positive rows.
 RATE, SMOOTH, L1, L2, PASSES, POSITIVE = 0.3, 1.0, 2.0, 0.1, 4, 2.0
 

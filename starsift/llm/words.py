@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 #: Words that a task remembers; the memo is emptied when it is full.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
