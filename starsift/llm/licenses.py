@@ -160,16 +160,21 @@ def scan(docs: DataFrame, phrases: dict | None = None, templates: dict | None =
     for r in table:
         by_label.setdefault(r.label, []).append(r)
     need = {label: max(2, -(-int(AGREE * 10 * len(rs)) // 10)) for label, rs in by_label.items()}
-    likely = reduce(
-        lambda a, b: a | b,
-        [
-            F.size(F.array_intersect(F.col("known"), F.array(*[F.lit(r.word) for r in rs]))) >= need[label]
-            for label, rs in by_label.items()
-        ],
-        F.lit(False),
-    )
+
+    def likely(known: Column) -> Column:
+        return reduce(
+            lambda a, b: a | b,
+            [
+                F.size(F.array_intersect(known, F.array(*[F.lit(r.word) for r in rs]))) >= need[label]
+                for label, rs in by_label.items()
+            ],
+            F.lit(False),
+        )
+
+    # Bound as a lambda's argument, the words are found once a text and not once a template.
+    words = F.array_intersect(F.split(F.trim(F.col("s")), " +"), vocabulary)
     texts = (
-        base.withColumn("known", F.array_intersect(F.split(F.trim(F.col("s")), " +"), vocabulary)).where(likely)
+        base.where(F.exists(F.array(words), likely))
         .select(F.xxhash64("text").alias("text_key"), "s").dropDuplicates(["text_key"])
     )
     hits = (
