@@ -13,9 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values: patterns that define the cleaning rules ---
-# A tag is '<' up to the next '>' on the same line; the class lists the line
-# ends that '.' does not match.
-TAG = "<[^>\\n\\r\\u0085\\u2028\\u2029]*+>"
+TAG = "<.*?>"
 URL = "(?U)\\s*https?://\\S+(\\s+|$)"
 EDGE_SPACE = "(?U)^\\s+|\\s+$"
 DIGITS = "(?U)\\d+"
