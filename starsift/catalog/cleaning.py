@@ -9,8 +9,10 @@ from starsift.catalog.registry import query
 from starsift.functions import text as tx
 from starsift.plans import flows
 
+# --- fixed values: the cleaning patterns in SQL ---
 SQL_URL = r"'\s*https?://\S+(\s+|$)', ' ', 'g'"
 SQL_STRIP = r"'^\s+|\s+$', '', 'g'"
+# --- end of fixed values ---
 
 
 def sql_script(text: str) -> str:

@@ -73,6 +73,52 @@ def scan_skip_bad(spark, sf_dir):
     return files.read_reviews_skip_long(spark, path, header=False)
 
 
+@query("scan_tsv_wide", f"select {CAST_SQL} from reviews", ("reviews",))
+def scan_tsv_wide(spark, sf_dir):
+    # Other columns and another order than the rows have; names decide.
+    df = view(spark, sf_dir, "reviews").select(
+        F.lit("US").alias("marketplace"), *reversed(REVIEW_COLUMNS), F.lit("N").alias("vine")
+    )
+    path = scratch_path(spark, "wide")
+    files.write_csv(df, path, sep="\t")
+    return files.read_reviews(spark, path)
+
+
+QUOTED_SQL = """select review_id, star_rating,
+    concat('say "', review_headline, '"', chr(9), 'x') as review_headline,
+    concat('"', review_body, '" c', chr(9), 'd', chr(10), 'e') as review_body from reviews"""
+
+
+@query("scan_tsv_quotes", QUOTED_SQL, ("reviews",))
+def scan_tsv_quotes(spark, sf_dir):
+    df = view(spark, sf_dir, "reviews").withColumns(
+        {
+            "review_headline": F.concat(F.lit('say "'), "review_headline", F.lit('"\tx')),
+            "review_body": F.concat(F.lit('"'), "review_body", F.lit('" c\td\ne')),
+        }
+    )
+    path = scratch_path(spark, "quotes")
+    files.write_csv(df.select(*REVIEW_COLUMNS), path, sep="\t")
+    back = files.read_reviews(spark, path, typed=True, multi_line=True)
+    return back.select("review_id", "star_rating", "review_headline", "review_body")
+
+
+@query(
+    "scan_skip_wide",
+    f"select {CAST_SQL} from reviews where {sql_hash('review_id')} % 10 <> 0",
+    ("reviews",),
+)
+def scan_skip_wide(spark, sf_dir):
+    # A tenth of the lines has a field more than the header, which names other columns too.
+    names = ["marketplace", *reversed(REVIEW_COLUMNS)]
+    fields = [F.lit("US"), *[F.col(c).cast("string") for c in reversed(REVIEW_COLUMNS)]]
+    surplus = F.when(bucket("review_id", 10) == 0, "surplus")
+    line = F.concat_ws("\t", *fields, surplus).alias("\t".join(names))
+    path = scratch_path(spark, "wide-lines")
+    files.write_csv(view(spark, sf_dir, "reviews").select(line), path, sep="\x01")
+    return files.read_reviews_skip_long(spark, path)
+
+
 @query(
     "scan_csv_pair",
     f"with {SPLIT_SQL} select split, text, label from parts",

@@ -48,7 +48,7 @@ VIEWS = {
         from (select review_id, star_rating, {HEX} as h from {reviews}) x
     """,
     "logits": """
-        select vec_id as row_id, label, {SLICE} as logits from {embeddings}
+        select vec_id as row_id, label, embedding as logits from {embeddings}
     """,
 }
 
@@ -64,9 +64,8 @@ _NEEDS = {
 
 _SPARK_MACROS = {
     "HEX": "cast(conv(substr(review_id,1,8),16,10) as bigint)",
-    "SLICE": "slice(embedding,1,10)",
 }
-_SQL_MACROS = {"HEX": "('0x'||substr(review_id,1,8))::BIGINT", "SLICE": "embedding[1:10]"}
+_SQL_MACROS = {"HEX": "('0x'||substr(review_id,1,8))::BIGINT"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from starsift.catalog.fixtures import view
 from starsift.catalog.registry import query
 from starsift.functions import text as tx
+from starsift.functions.hashing import bucket
 from starsift.operators import density, profile, sampling, setops
 
 # Thresholds at which each filter removes some rows of the benchmark tables.
@@ -406,6 +407,39 @@ def split_exact_80_20(spark, sf_dir):
     return sampling.split_exact(df, 0.2, seed=7)
 
 
+# Six of seven rows lose their key; the limit and the split reach into those.
+KEYLESS_SQL = f"""keyless as (select review_id, star_rating,
+    case when {sql_hash('review_id')} % 7 = 0 then review_id end as review_key from reviews)"""
+
+
+def _keyless(spark, sf_dir):
+    key = F.when(bucket("review_id", 7) == 0, F.col("review_id"))
+    return view(spark, sf_dir, "reviews").select("review_id", "star_rating", key.alias("review_key"))
+
+
+@query(
+    "take_first_null_keys",
+    f"""with {KEYLESS_SQL} select review_key from keyless
+        order by review_key is null, {sql_hash('review_key')}, review_key limit 10000""",
+    ("reviews",),
+)
+def take_first_null_keys(spark, sf_dir):
+    return sampling.take_first(_keyless(spark, sf_dir), 10000, key="review_key").select("review_key")
+
+
+@query(
+    "split_exact_null_keys",
+    f"""with {KEYLESS_SQL} select review_key, case when row_number() over (
+              order by review_key is null, {sql_hash('review_key', 7)}, review_key)
+          <= (select ceil(count(*) * 0.2::double) from keyless) then 'test' else 'train' end as split
+        from keyless""",
+    ("reviews",),
+)
+def split_exact_null_keys(spark, sf_dir):
+    df = sampling.split_exact(_keyless(spark, sf_dir), 0.2, key="review_key", seed=7)
+    return df.select("review_key", "split")
+
+
 @query(
     "kfold_assign",
     f"select review_id, cast({sql_hash('review_id', 42)} % 5 as integer) as fold from reviews",

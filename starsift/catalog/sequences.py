@@ -239,6 +239,17 @@ def _linear_sql() -> str:
     return f"select vec_id, {outs} from (select vec_id, embedding::double[] as x from embeddings) y"
 
 
+@query(
+    "batch_score_nulls",
+    f"""select vec_id, case when vec_id % 3 > 0 then s0 end as s0, case when vec_id % 3 > 0 then s1 end as s1
+        from ({_linear_sql()}) z""",
+)
+def batch_score_nulls(spark, sf_dir):
+    vector = F.when(F.col("vec_id") % 3 > 0, F.col("embedding"))
+    df = view(spark, sf_dir, "embeddings").select("vec_id", models.batch_score(vector, _linear).alias("s"))
+    return df.select("vec_id", *[F.round(F.col("s")[j], 6).alias(f"s{j}") for j in range(2)])
+
+
 @query("batch_score_udf", _linear_sql())
 def batch_score_udf(spark, sf_dir):
     df = view(spark, sf_dir, "embeddings").select(

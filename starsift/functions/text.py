@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,10 +109,13 @@ EXTRA_STOPWORD = "xxxx"
 # --- end of fixed values ---
 
 
+@cache
 def _accent_table() -> tuple[str, str]:
-    """Accented letters of the Latin blocks and their base letters, by decomposition."""
+    """Letters of all scripts that decompose to one base letter and marks, and that base."""
     source, target = [], []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for code in range(0xC0, 0x110000):
+        if unicodedata.decomposition(chr(code))[:1] in ("", "<"):
+            continue
         base = "".join(
             ch for ch in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(ch) != "Mn"
         )
@@ -122,7 +126,7 @@ def _accent_table() -> tuple[str, str]:
 
 
 # --- fixed values: pre-tokenizer classes of uncased subword models ---
-CONTROL = "[\\p{Cc}\\p{Cf}&&[^\\t\\n\\r]]"
+CONTROL = "[\\p{C}\\x{FFFD}&&[^\\t\\n\\r]]"
 COMBINING = "\\p{Mn}"
 _PUNCT = "\\p{P}$+<=>^`|~"
 # A word is a run of anything but white space, punctuation and Han signs; plain

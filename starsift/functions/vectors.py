@@ -23,22 +23,33 @@ def _activate(z: np.ndarray, kind: str) -> np.ndarray:
     raise ValueError(f"unknown activation {kind!r}")
 
 
+def by_batch(x: pd.Series, run) -> pd.Series:
+    """``run`` over the vectors of a batch as one matrix; rows without a vector stay null."""
+    out = np.empty(len(x), dtype=object)
+    known = np.flatnonzero(x.notna().to_numpy())
+    if len(known):
+        for i, row in zip(known, run(np.stack(x.iloc[known].to_numpy()).astype(float))):
+            out[i] = row
+    return pd.Series(out)
+
+
 def dense(c: Column | str, layers: Sequence[Layer]) -> Column:
     """Scores of a stack of (weights[in][out], bias[out], activation) layers.
 
     One Arrow batch is one matrix product per layer. The weights travel with
-    the task, so this is for classifier heads, not for embedding tables.
+    the task, so this is for classifier heads, not for embedding tables. A null
+    vector gives null.
     """
     mats = [(np.asarray(w, float), np.asarray(b, float), kind) for w, b, kind in layers]
 
-    @F.pandas_udf("array<double>")
-    def score(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        out = np.stack(x.to_numpy()).astype(float)
+    def layers_of(out: np.ndarray) -> np.ndarray:
         for weights, bias, kind in mats:
             out = _activate(out @ weights + bias, kind)
-        return pd.Series(list(out))
+        return out
+
+    @F.pandas_udf("array<double>")
+    def score(x: pd.Series) -> pd.Series:
+        return by_batch(x, layers_of)
 
     return score(F.col(c) if isinstance(c, str) else c)
 

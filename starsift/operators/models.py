@@ -15,7 +15,6 @@ from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     IDF,
     HashingTF,
-    IndexToString,
     RegexTokenizer,
     StringIndexer,
     Tokenizer,
@@ -24,6 +23,7 @@ from pyspark.ml.feature import (
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starsift.functions.vectors import by_batch
 from starsift.operators.metrics import best_point, mean_over_folds
 from starsift.operators.sampling import fold_frames
 
@@ -219,13 +219,15 @@ def cross_validate(
 
 
 def score(model: Model, df: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
-    """Predictions; with ``labels`` also the class names (``predicted_label``)."""
+    """Predictions; with ``labels`` also the class names (``predicted_label``).
+
+    The unit that stands for unseen classes has no name: its label is null.
+    """
     scored = model.transform(df)
     if labels is None:
         return scored
-    return IndexToString(
-        inputCol="prediction", outputCol="predicted_label", labels=list(labels)
-    ).transform(scored)
+    names = F.array(*[F.lit(name) for name in labels])
+    return scored.withColumn("predicted_label", F.get(names, F.col("prediction").cast("int")))
 
 
 def save_and_load(model: PipelineModel, path: str) -> PipelineModel:
@@ -235,13 +237,13 @@ def save_and_load(model: PipelineModel, path: str) -> PipelineModel:
 
 
 def batch_score(c: Column | str, predict, returns: str = "array<double>") -> Column:
-    """Scores of an external model: ``predict`` maps a 2-D numpy batch to one row each."""
-    import numpy as np
+    """Scores of an external model: ``predict`` maps a 2-D numpy batch to one row each.
+
+    A null vector gives null.
+    """
 
     @F.pandas_udf(returns)
     def run(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(predict(np.stack(x.to_numpy()))))
+        return by_batch(x, predict)
 
     return run(F.col(c) if isinstance(c, str) else c)

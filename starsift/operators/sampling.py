@@ -7,23 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starsift.functions.hashing import bucket, hash32
 from starsift.operators.lookup import HOT_SHARE, hot_keys
 from starsift.session import stored
 
-#: Up to this many rows per group Spark prunes a rank filter map-side.
-GROUP_LIMIT = 1000
 #: The cut is searched in 2**CUT_BITS slices of the hash range.
 CUT_BITS = 16
 
 
+def _place(df: DataFrame, key: str, seed: int | None) -> dict[str, Column]:
+    """Columns that order the rows: ``_h``, then the key, then ``_whole``.
+
+    A row with a key is placed by the key's hash. Rows without one come after all
+    others, by a hash of the whole row, so they are spread over slices as well.
+    """
+    columns = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    whole = F.xxhash64(F.lit(seed or 0), *columns)
+    low = whole.bitwiseAND(F.lit(2**32 - 1)) + F.lit(2**32)
+    none = F.col(key).isNull()
+    return {
+        "_h": F.when(none, low).otherwise(hash32(key, seed)),
+        "_whole": F.when(none, whole),
+    }
+
+
 def _slices(df: DataFrame, key: str, by: Sequence[str], seed: int | None) -> DataFrame:
     """Row counts per (group, hash slice), with the rows before each slice.
 
-    At most 2**CUT_BITS rows per group, and combined before the shuffle.
+    At most 2 * 2**CUT_BITS rows per group, and combined before the shuffle.
     """
-    sliced = df.select(*by, _slice(hash32(key, seed)).alias("_slice"))
+    sliced = df.select(*by, _slice(_place(df, key, seed)["_h"]).alias("_slice"))
     sizes = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     order = W.partitionBy(*(by or [F.lit(0)])).orderBy("_slice")
     return stored(sizes, "slices").withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
@@ -41,13 +56,13 @@ def _edges(slices: DataFrame, n: Column) -> DataFrame:
 
 def _flag(df: DataFrame, slices: DataFrame, n: Column, key: str, seed: int | None, flag: str):
     edge = _edges(slices, n).select(F.struct("_slice", "_before")).scalar()
-    keyed = df.select(hash32(key, seed).alias("_h"), F.col(key).alias("_key"))
-    ranked = keyed.filter(_slice(F.col("_h")) == edge["_slice"]).withColumn(
-        "_place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_h", "_key"))
+    place = _place(df, key, seed)
+    own = F.struct(place["_h"].alias("_h"), F.col(key).alias("_key"), place["_whole"].alias("_whole"))
+    ranked = df.select(own.alias("_own")).filter(_slice(F.col("_own._h")) == edge["_slice"])
+    ranked = ranked.withColumn(
+        "_place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_own"))
     )
-    last = ranked.filter(F.col("_place") == n - edge["_before"])
-    cut = last.select(F.struct("_h", "_key").alias("_cut")).scalar()
-    own = F.struct(hash32(key, seed).alias("_h"), F.col(key).alias("_key"))
+    cut = ranked.filter(F.col("_place") == n - edge["_before"]).select("_own").scalar()
     return df.withColumn(flag, (n > 0) & F.coalesce(own <= cut, F.lit(True)))
 
 
@@ -56,7 +71,9 @@ def flag_first(
 ) -> DataFrame:
     """All rows plus ``flag``: is the row among the first ``n`` by (hash of key, key)?
 
-    ``key`` must be unique. The rows are neither sorted nor shuffled: slice
+    ``key`` must be unique where it is not null. Rows with a null key come last, in
+    an order fixed by the whole row; rows equal in full then stay on one side of
+    the cut. The rows are neither sorted nor shuffled: slice
     counts tell where row ``n`` lies, that slice alone (one 2**CUT_BITS-th of
     the rows) is ranked, and every row is compared with the cut found there.
     """
@@ -74,7 +91,7 @@ def _take_sliced(
     """
     slices = _slices(df, key, by, seed)
     edges = _edges(slices, F.lit(n)).select(*by, F.col("_slice").alias("_edge"), "_before")
-    rows = df.withColumn("_h", hash32(key, seed)).withColumn("_slice", _slice(F.col("_h")))
+    rows = df.withColumns(_place(df, key, seed)).withColumn("_slice", _slice(F.col("_h")))
     if by:
         groups = slices.groupBy(*by).agg(F.sum("_n").alias("_n"))
         hot = hot_keys(groups, by, "_n", share).join(edges, by, "left")
@@ -87,7 +104,7 @@ def _take_sliced(
     near = marked.filter(F.col("_edge").isNull() | (F.col("_slice") <= F.col("_edge")))
     part = F.when(F.col("_hot"), F.col("_slice")).otherwise(-1)
     skip = F.when(F.col("_slice") == F.col("_edge"), F.col("_before")).otherwise(0)
-    order = W.partitionBy(*by, "_part").orderBy("_h", key)
+    order = W.partitionBy(*by, "_part").orderBy("_h", key, "_whole")
     ranked = near.withColumns({"_part": part, "_skip": skip}).withColumn(
         "_rank", F.row_number().over(order)
     )
@@ -103,18 +120,13 @@ def take_first(
     seed: int | None = None,
     share: int = HOT_SHARE,
 ) -> DataFrame:
-    """``n`` rows (of each group, if ``by`` is given), repeatable for a key and seed."""
+    """``n`` rows (of each group, if ``by`` is given), repeatable for a key and seed.
+
+    Rows with a null key are taken after all others, in an order fixed by the
+    whole row. Rows with a null in ``by`` belong to no group.
+    """
     by = list(by)
-    order = [hash32(key, seed), F.col(key)]
-    if not by:
-        if n <= GROUP_LIMIT:
-            return df.orderBy(*order).limit(n)
-        return _take_sliced(df, n, key, by, seed, share)
-    rows = df.dropna(subset=by)
-    if n > GROUP_LIMIT:
-        return _take_sliced(rows, n, key, by, seed, share)
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    return _take_sliced(df.dropna(subset=by) if by else df, n, key, by, seed, share)
 
 
 def balance_classes(
@@ -142,7 +154,11 @@ def split_share(
 def split_exact(
     df: DataFrame, test_share: float = 0.2, *, key: str = "review_id", seed: int | None = None
 ) -> DataFrame:
-    """Column ``split`` with exactly ceil(test_share * rows) test rows."""
+    """Column ``split`` with exactly ceil(test_share * rows) test rows.
+
+    Rows with a null key come last; if the cut falls among them, rows that are
+    equal in full go to one side together.
+    """
     slices = _slices(df, key, [], seed)
     n_test = F.ceil(slices.agg(F.sum("_n")).scalar() * F.lit(float(test_share)))
     flagged = _flag(df, slices, n_test, key, seed, "_test")

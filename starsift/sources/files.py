@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Mapping, Sequence
 
@@ -22,38 +23,51 @@ PANDAS_NA = [
 ]
 # --- end of fixed values ---
 
-#: Inputs with fewer bytes per core than this are worth redistributing.
-SMALL_SPLIT = 16 * 1024 * 1024
 
 
-def spread(df: DataFrame, bytes_per_core: int = SMALL_SPLIT) -> DataFrame:
-    """A small scan redistributed round-robin over all cores.
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A Parquet table.
 
-    A file with few row groups is read by as few tasks, which then do all the
-    work up to the first shuffle. Inputs that fill every core with a split of
-    ``bytes_per_core`` are left alone, so no large table is ever moved.
+    ``partitions`` redistributes the rows round-robin, for a file whose few row
+    groups would leave most cores idle up to the first shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * bytes_per_core else df
+    df = spark.read.parquet(path)
+    return df.repartition(partitions) if partitions else df
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; small ones are spread over the cores."""
-    return spread(spark.read.parquet(path))
+def _wanted(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` by name, each cast; values that cannot be cast are null."""
+    absent = [name for name in schema.names if name not in df.columns]
+    if absent:
+        raise ValueError(f"columns {absent} are not in the header {df.columns}")
+    return df.select(
+        *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
 
 
 def read_reviews(
-    spark: SparkSession, path: str, *, typed: bool = False, partitions: int | None = None
+    spark: SparkSession,
+    path: str,
+    *,
+    typed: bool = False,
+    partitions: int | None = None,
+    header: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Tab-separated reviews with a header; all text, or with an int rating.
+    """Tab-separated reviews; all text, or with an int rating.
 
+    Columns are found by the names in the header, in any order and among others;
+    a missing one is an error. Without ``header`` they are taken by position.
     ``partitions`` redistributes the rows round-robin, which is only of use when
-    the file cannot be split.
+    the file cannot be split. ``multi_line`` allows line breaks inside quotes; such
+    a file is read by one task.
     """
-    df = spark.read.csv(
-        path, sep="\t", header=True, schema=REVIEW_TYPED if typed else REVIEW_TEXT
-    )
+    schema = REVIEW_TYPED if typed else REVIEW_TEXT
+    options = {"sep": "\t", "escape": '"', "multiLine": multi_line}
+    if header:
+        df = _wanted(spark.read.csv(path, header=True, **options), schema)
+    else:
+        df = spark.read.csv(path, header=False, schema=schema, **options)
     return df.repartition(partitions) if partitions else df
 
 
@@ -78,15 +92,26 @@ def read_reviews_skip_long(
 
     ``DROPMALFORMED`` would drop both kinds, and the CSV source cannot tell an
     empty surplus field from none, so long lines are dropped as text and the
-    rest is parsed. A header line is recognised by the column names.
+    rest is parsed. With ``header`` the first line gives the names and the number of
+    fields, and the columns of ``schema`` are found by name; lines equal to it are
+    headers of other parts. Without it they are taken by position.
     """
     lines = spark.read.text(path).filter(F.col("value") != "")
+    names = schema.names
     if header:
-        lines = lines.filter(F.col("value") != sep.join(schema.names))
-    fits = lines.filter(~_too_many_fields(F.col("value"), sep, len(schema.fields)))
-    texts = ", ".join(f"`{name}` string" for name in schema.names)
-    row = F.from_csv("value", texts, {"sep": sep, "escape": '"'})
-    clean = as_missing(fits.select(row.alias("_row")).select("_row.*"), na_values)
+        first = lines.first()
+        if first is None:
+            return spark.createDataFrame([], schema)
+        names = next(csv.reader([first["value"].removeprefix("\ufeff")], delimiter=sep))
+        lines = lines.filter(F.col("value") != first["value"])
+        absent = [name for name in schema.names if name not in names]
+        if absent:
+            raise ValueError(f"columns {absent} are not in the header {names}")
+    fits = lines.filter(~_too_many_fields(F.col("value"), sep, len(names)))
+    texts = ", ".join(f"_c{i} string" for i in range(len(names)))
+    row = F.from_csv("value", texts, {"sep": sep, "escape": '"'}).alias("_row")
+    picked = [F.col(f"_row._c{names.index(name)}").alias(name) for name in schema.names]
+    clean = as_missing(fits.select(row).select(*picked), na_values)
     return clean.select(
         *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]
     )
@@ -95,12 +120,12 @@ def read_reviews_skip_long(
 def read_text_label(
     spark: SparkSession, path: str, *, schema: T.StructType = TEXT_LABEL, multi_line: bool = False
 ) -> DataFrame:
-    """A CSV with a header, as the sinks below write it.
+    """A CSV with a header, as the sinks below write it; columns are found by name.
 
     ``multi_line`` is needed only if texts hold line breaks; such a file is read
     by one task, so keep the files small then (``max_rows_per_file``).
     """
-    return spark.read.csv(path, header=True, schema=schema, escape='"', multiLine=multi_line)
+    return _wanted(spark.read.csv(path, header=True, escape='"', multiLine=multi_line), schema)
 
 
 def read_splits(

@@ -107,7 +107,39 @@ def test_union_all_matches_names(spark):
     assert sorted(map(tuple, setops.union_all([a, b, a]).collect())) == [(1, "x"), (1, "x"), (2, "y")]
 
 
-def test_spread_only_small_inputs(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert files.spread(df).rdd.getNumPartitions() == 4
-    assert "Exchange" not in files.spread(df, 1)._jdf.queryExecution().executedPlan().toString()
+def test_tables_are_dealt_anew_only_on_demand(spark, sf_dir):
+    path = f"{sf_dir}/documents.parquet"
+    assert files.read_table(spark, path, 3).rdd.getNumPartitions() == 3
+    plan = files.read_table(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+WIDE = [
+    "marketplace\tcustomer_id\treview_id\tproduct_id\tstar_rating\treview_headline\treview_body",
+    "US\tC1\tR1\tP1\t5\tHead\tBody",
+    "US\tC2\tR2\tP2\t4\tHead\tBody\tsurplus",
+]
+
+
+def test_columns_follow_the_header(spark, tmp_path):
+    path = tmp_path / "wide.tsv"
+    path.write_text("\n".join(WIDE) + "\n")
+    want = dict(customer_id="C1", review_id="R1", product_id="P1", review_headline="Head",
+                review_body="Body", star_rating="5")
+    rows = {r.review_id: r for r in files.read_reviews(spark, str(path)).collect()}
+    assert rows["R1"].asDict() == want and set(rows) == {"R1", "R2"}
+    assert files.read_reviews(spark, str(path), typed=True).first().star_rating == 5
+    assert [r.asDict() for r in files.read_reviews_skip_long(spark, str(path)).collect()] == [want]
+    narrow = tmp_path / "narrow.tsv"
+    narrow.write_text("customer_id\treview_id\nC1\tR1\n")
+    for read in (files.read_reviews, files.read_reviews_skip_long):
+        with pytest.raises(ValueError, match="star_rating"):
+            read(spark, str(narrow))
+
+
+def test_quotes_and_tabs_come_back(spark):
+    row = ("c", "r", "p", 'say "hi"\tx', '"a \\ "b" c\td\ne', "5")
+    df = spark.createDataFrame([row], REVIEW_TEXT)
+    path = scratch_path(spark, "q")
+    files.write_csv(df, path, sep="\t")
+    assert tuple(files.read_reviews(spark, path, multi_line=True).first()) == row

@@ -112,3 +112,19 @@ def test_prepared_flow(spark):
     assert out.filter(F.col("review").contains("<")).count() == 0
     folded = flows.balanced_folds(out.withColumnRenamed("star_rating", "label"), 10)
     assert folded.count() == 50 and {"split", "fold"} <= set(folded.columns)
+
+
+def test_null_vectors_and_unseen_classes(spark):
+    from starsift.functions.vectors import dense
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id int, x array<double>")
+    sums = models.batch_score("x", lambda m: m.sum(axis=1), "double")
+    scores = dense("x", [([[1.0], [1.0]], [0.5], "linear")])
+    assert sorted(map(tuple, df.select("id", sums, scores).collect())) == [(1, 3.0, [3.5]), (2, None, None)]
+
+    class Fixed:
+        def transform(self, frame):
+            return frame.selectExpr("*", "cast(id as double) as prediction")
+
+    named = models.score(Fixed(), df, ["a", "b"]).collect()
+    assert {r.id: r.predicted_label for r in named} == {1: "b", 2: None}

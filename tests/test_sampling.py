@@ -39,7 +39,6 @@ def test_class_caps(rows, n, share):
 
 def test_sliced_caps_match_for_small_limits(rows, monkeypatch):
     df, data = rows
-    monkeypatch.setattr(sampling, "GROUP_LIMIT", 0)
     for bits in (2, 16):
         monkeypatch.setattr(sampling, "CUT_BITS", bits)
         for share in (2, 10_000):
@@ -47,6 +46,28 @@ def test_sliced_caps_match_for_small_limits(rows, monkeypatch):
             assert sorted(map(tuple, got.collect())) == sorted(brute_caps(data, 37, None))
 
 
+@pytest.mark.parametrize("n", [0, 3, 999, 1000, 1001, 1200, 5000])
+def test_limits_with_null_keys(spark, n):
+    """1000 keys and 500 rows without: the latter fill up what the keys leave."""
+    data = [(i, i) for i in range(1000)] + [(None, i) for i in range(500)]
+    df = spark.createDataFrame(data, "k long, v long").repartition(5)
+    got = [r.k for r in sampling.take_first(df, n, key="k", seed=3).collect()]
+    keys = {k for k in got if k is not None}
+    assert len(got) == min(n, 1500) and len(keys) == min(n, 1000)
+    assert keys == {k for _, k in sorted((h(k, 3), k) for k in range(1000))[:n]}
+    flagged = sampling.flag_first(df, n, key="k", seed=3).collect()
+    assert sorted(str(r.k) for r in flagged if r.chosen) == sorted(map(str, got))
+
+
+def test_exact_split_with_null_keys(spark):
+    data = [(i if i % 3 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(data, "review_id long, v long")
+    for share, with_key in ((0.2, 600), (0.9, 2000)):
+        rows = sampling.split_exact(df, share).filter("split = 'test'").collect()
+        assert len(rows) == 3000 * share
+        assert sum(r.review_id is not None for r in rows) == with_key
+
+
 @pytest.mark.parametrize("n", [0, 10, 1500, 9999])
 def test_global_limit_and_flag(rows, n):
     df, data = rows

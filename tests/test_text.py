@@ -94,6 +94,11 @@ def test_basic_words(spark):
     assert got == [["ete", ",", "it", "'", "s", "你", "好", "$", "5", "!"], ["e", "uber"]]
 
 
+def test_accents_of_other_scripts(spark):
+    got = column(spark, ["Καλημέρα Й ё\ufffd \ue000x"], tx.basic_words)
+    assert got == [["καλημερα", "и", "е", "x"]]
+
+
 def test_accent_table_is_built_from_decompositions():
     source, target = tx._accent_table()
     assert len(source) == len(target) and len(source) > 200
