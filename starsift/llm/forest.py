@@ -127,7 +127,7 @@ def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool)
     Each row with its next ``reach`` rows; in the ``first`` pass also the members of a
     crowded region with the one that shares most values with the others, in the
     second only pairs whose whole signatures agree enough. Counted are the meetings of
-    a pair and those in which either was the typical one.
+    a pair and those in which either was the typical one; ``ra`` and ``rb`` are the roots.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +139,8 @@ def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool)
             region, ids, n, root = (batch[c].to_numpy() for c in ("region", "id", "n", "root"))
             tail = np.frombuffer(b"".join(batch.suffix), dtype=">u2").reshape(-1, TAIL)
             marks = None if first else np.frombuffer(b"".join(batch.marks), dtype=np.uint8).reshape(-1, VALUES)
-            left, right, middles = [ids[:0]], [ids[:0]], [np.zeros(0, dtype=bool)]
+            # Places in the batch of the two texts of each pair.
+            left, right, middles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, dtype=bool)]
             for step in range(1, min(reach, len(ids) - 1) + 1):
                 near = np.flatnonzero((region[:-step] == region[step:]) & (root[:-step] != root[step:]))
                 if not len(near):
@@ -147,8 +148,8 @@ def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool)
                 near = near[_close(tail[near], tail[near + step], n[near], n[near + step], percent, agree)]
                 if not first:
                     near = near[(marks[near] == marks[near + step]).sum(axis=1) >= LEAST_AGREED]
-                left.append(ids[near])
-                right.append(ids[near + step])
+                left.append(near)
+                right.append(near + step)
                 middles.append(np.zeros(len(near), dtype=bool))
             edges = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
             for start, end in zip(edges[:-1], edges[1:]):
@@ -163,20 +164,22 @@ def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool)
                 centre = np.broadcast_to(part[middle], part.shape)
                 own = n[start:end]
                 close = _close(part, centre, own, np.full_like(own, own[middle]), percent, agree)
-                others = ids[start:end][close]
-                left.append(np.full(len(others), ids[start + middle]))
+                others = start + np.flatnonzero(close)
+                left.append(np.full(len(others), start + middle))
                 right.append(others)
                 middles.append(np.ones(len(others), dtype=bool))
-            a, b, middle = np.concatenate(left), np.concatenate(right), np.concatenate(middles)
+            one, two, middle = np.concatenate(left), np.concatenate(right), np.concatenate(middles)
+            ahead = ids[one] <= ids[two]
+            low, high = np.where(ahead, one, two), np.where(ahead, two, one)
             out = pd.DataFrame({
-                "a": np.minimum(a, b), "b": np.maximum(a, b), "met": 1,
-                "by_a": (middle & (a <= b)).astype(np.int64), "by_b": (middle & (a > b)).astype(np.int64),
+                "a": ids[low], "b": ids[high], "ra": root[low], "rb": root[high], "met": 1,
+                "by_a": (middle & ahead).astype(np.int64), "by_b": (middle & ~ahead).astype(np.int64),
             })
-            yield out[out.a != out.b].groupby(["a", "b"], as_index=False).sum()
+            yield out[out.a != out.b].groupby(["a", "b", "ra", "rb"], as_index=False).sum()
 
     ordered = trees.repartitionByRange("region", "suffix", "id").sortWithinPartitions("region", "suffix", "id")
-    found = ordered.mapInPandas(rows, "a long, b long, met long, by_a long, by_b long")
-    return found.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("met", "by_a", "by_b")])
+    found = ordered.mapInPandas(rows, "a long, b long, ra long, rb long, met long, by_a long, by_b long")
+    return found.groupBy("a", "b", "ra", "rb").agg(*[F.sum(c).alias(c) for c in ("met", "by_a", "by_b")])
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -222,7 +225,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(linked("x", "y")).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").where(linked("x", "y")).select(*pairs.columns).distinct()
 
 
 def _likely(pairs: DataFrame) -> DataFrame:
@@ -255,11 +258,9 @@ def _with_root(df: DataFrame, roots: DataFrame, name: str, out: str) -> DataFram
 
 
 def _merged(roots: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``roots`` after joining the groups that confirmed pairs between them link."""
-    across = _with_root(_with_root(pairs.select("a", "b"), roots, "a", "ra"), roots, "b", "rb")
-    links = _confirmed(across.where("ra <> rb").select("a", "b"), sets, percent)
-    ends = _with_root(_with_root(links, roots, "a", "ra"), roots, "b", "rb")
-    tops = components(stored(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "links"))
+    """``roots`` after joining the groups that confirmed pairs between them (``ra``, ``rb``) link."""
+    links = _confirmed(pairs.where("ra <> rb").select("a", "b", "ra", "rb"), sets, percent)
+    tops = components(stored(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links"))
     tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     fresh = tops.select(F.col("root").alias("node"), F.col("top").alias("root"))
@@ -290,7 +291,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     sets = stored(_sets(docs, pairs, words), "sets")
     roots = components(stored(_confirmed(_likely(pairs), sets, percent), "links"))
     # A pair inside one group can add nothing; the others are confirmed as well.
-    roots = _merged(roots, pairs, sets, percent)
+    met = _with_root(_with_root(pairs.select("a", "b"), roots, "a", "ra"), roots, "b", "rb")
+    roots = _merged(roots, met, sets, percent)
     # Whoever stands in a crowded region has met someone there.
     crowded = _with_root(classes.join(_ends(pairs), "id", "left_semi"), roots, "id", "root")
     further = stored(_pairs(_trees(crowded, True), percent, REACH, AGREE_FURTHER, False), "pairs")
