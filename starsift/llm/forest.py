@@ -42,6 +42,8 @@ NEIGHBOURS = 4
 REACH = 16
 #: In the second pass, how many values of the whole signatures must agree: three deviations below 80 %.
 LEAST_AGREED = 89
+#: In the first, how many values may differ in their last two bits: 3.5 deviations above 80 %.
+MOST_DIFFERENT = 34
 #: Bits of the filter that finds the documents whose sets are needed.
 FILTER_BITS = 1 << 26
 _SEED = 20240229
@@ -87,7 +89,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
 def _trees(classes: DataFrame, whole: bool) -> DataFrame:
     """One row per text class and tree: its region, the values that sort it, size and id.
 
-    ``whole`` adds one byte of every value of the signature.
+    ``marks`` holds one byte of every value of the signature if ``whole``, else two bits.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,6 +97,10 @@ def _trees(classes: DataFrame, whole: bool) -> DataFrame:
         orders = [rng.permutation(VALUES)[: DEPTH + TAIL] for _ in range(TREES)]
         for batch in batches:
             signs = np.frombuffer(b"".join(batch.sig), dtype=">u2").reshape(-1, VALUES)
+            low = (signs & (0xFF if whole else 3)).astype(np.uint8)
+            if not whole:
+                low = np.bitwise_or.reduce(low.reshape(-1, VALUES // 4, 4) << np.array([0, 2, 4, 6], dtype=np.uint8), axis=2)
+            marks = [row.tobytes() for row in low]
             for tree, order in enumerate(orders):
                 head = signs[:, order[:DEPTH]].astype(np.uint64)
                 region = np.full(len(batch), tree + 1, dtype=np.uint64)
@@ -102,9 +108,8 @@ def _trees(classes: DataFrame, whole: bool) -> DataFrame:
                     region = mix(region * np.uint64(65537) + head[:, at])
                 tail = np.ascontiguousarray(signs[:, order[DEPTH:]]).tobytes()
                 width = 2 * TAIL
-                marks = np.ascontiguousarray((signs & 0xFF).astype(np.uint8)).tobytes() if whole else b""
                 yield pd.DataFrame({
-                    "marks": [marks[i : i + VALUES] for i in range(0, len(marks), VALUES)] or [b""] * len(batch),
+                    "marks": marks,
                     "region": region.view(np.int64),
                     "suffix": [tail[i : i + width] for i in range(0, len(tail), width)],
                     "id": batch.id.to_numpy(),
@@ -121,12 +126,20 @@ def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent:
     return sizes & ((x == y).sum(axis=1) >= agree)
 
 
+def _alike(x: np.ndarray, y: np.ndarray, whole: bool) -> np.ndarray:
+    """Whether the marks of two texts (see ``_trees``) allow for linked sets."""
+    if whole:
+        return (x == y).sum(axis=1) >= LEAST_AGREED
+    apart = x ^ y
+    return np.bitwise_count((apart | (apart >> 1)) & 0x55).sum(axis=1) <= MOST_DIFFERENT
+
+
 def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool) -> DataFrame:
     """Candidate pairs of different roots from the sorted orders.
 
     Each row with its next ``reach`` rows; in the ``first`` pass also the members of a
-    crowded region with the one that shares most values with the others, in the
-    second only pairs whose whole signatures agree enough. Counted are the meetings of
+    crowded region with the one that shares most values with the others. Only pairs
+    whose marks agree enough are given. Counted are the meetings of
     a pair and those in which either was the typical one; ``ra`` and ``rb`` are the roots.
     """
 
@@ -138,7 +151,7 @@ def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool)
             kept = batch.iloc[-reach:]
             region, ids, n, root = (batch[c].to_numpy() for c in ("region", "id", "n", "root"))
             tail = np.frombuffer(b"".join(batch.suffix), dtype=">u2").reshape(-1, TAIL)
-            marks = None if first else np.frombuffer(b"".join(batch.marks), dtype=np.uint8).reshape(-1, VALUES)
+            marks = np.frombuffer(b"".join(batch.marks), dtype=np.uint8).reshape(-1, VALUES // 4 if first else VALUES)
             # Places in the batch of the two texts of each pair.
             left, right, middles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, dtype=bool)]
             for step in range(1, min(reach, len(ids) - 1) + 1):
@@ -146,8 +159,7 @@ def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool)
                 if not len(near):
                     continue
                 near = near[_close(tail[near], tail[near + step], n[near], n[near + step], percent, agree)]
-                if not first:
-                    near = near[(marks[near] == marks[near + step]).sum(axis=1) >= LEAST_AGREED]
+                near = near[_alike(marks[near], marks[near + step], not first)]
                 left.append(near)
                 right.append(near + step)
                 middles.append(np.zeros(len(near), dtype=bool))
@@ -165,6 +177,7 @@ def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool)
                 own = n[start:end]
                 close = _close(part, centre, own, np.full_like(own, own[middle]), percent, agree)
                 others = start + np.flatnonzero(close)
+                others = others[_alike(marks[others], marks[start + middle], False)]
                 left.append(np.full(len(others), start + middle))
                 right.append(others)
                 middles.append(np.ones(len(others), dtype=bool))
