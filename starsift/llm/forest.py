@@ -39,7 +39,7 @@ AGREE, AGREE_FURTHER = 5, 7
 #: Successors in an order that a text is compared with.
 NEIGHBOURS = 4
 #: Successors it is compared with in the second pass, if they are in other groups.
-REACH = 16
+REACH = 64
 #: In the second pass, how many values of the whole signatures must agree: three deviations below 80 %.
 LEAST_AGREED = 89
 #: In the first, how many values may differ in their last two bits: 3.5 deviations above 80 %.
