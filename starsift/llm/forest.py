@@ -8,8 +8,11 @@ crowded their region of the order is: a few values in a sparse one, the whole
 key in a crowded one. A crowded region's most typical member is also compared
 with all of it, which ties copies of one original together. A second pass over
 the orders reaches further, between texts that are still in different groups.
-The orders are sorted by range, so a region of any size is spread over tasks.
-Candidates are confirmed on the full shingle sets.
+These two passes only save work: a third one compares all texts of a region that
+are still in different groups, and leaves out a pair only by a bound that no linked
+pair can break. The orders are sorted by range and the third pass deals blocks of
+a region, so a region of any size is spread over tasks. Candidates are confirmed
+on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from starsift.llm.components import components
 from starsift.llm.words import WordHashes, mix, shingle_set, utf8
+from starsift.operators.lookup import lookup
 from starsift.session import stored
 
 #: Minimum hashes in a signature (16 bits are kept of each).
@@ -44,6 +48,10 @@ REACH = 64
 LEAST_AGREED = 89
 #: In the first, how many values may differ in their last two bits: 3.5 deviations above 80 %.
 MOST_DIFFERENT = 34
+#: Bits of a set's parity map, which bounds from below how many shingles two sets do not share.
+PARITY = 1024
+#: About how many rows of a region one block of the third pass has.
+BLOCK = 1024
 #: Bits of the filter that finds the documents whose sets are needed.
 FILTER_BITS = 1 << 26
 _SEED = 20240229
@@ -66,8 +74,17 @@ def _signature(shingles: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np
     return (low & np.uint32(0xFFFF)).astype(">u2")
 
 
+def _parity(shingles: np.ndarray) -> bytes:
+    """For each of ``PARITY`` places whether an odd number of shingles falls there.
+
+    Shared shingles cancel out, so two maps differ in at most as many places as the sets in shingles.
+    """
+    places = (shingles % np.uint64(PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, number of shingles, a key of the set and its signature."""
+    """doc_id, number of shingles, a key of the set, its signature and its parity map."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -79,11 +96,25 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             for text in batch.text:
                 grams = shingle_set(hashes.of(utf8(text).lower().split()), size)
                 sign = _signature(grams, scale, shift).tobytes() if len(grams) else b""
-                out.append((len(grams), xxhash.xxh3_128_digest(grams.tobytes()), sign))
-            frame = pd.DataFrame(out, columns=["n", "key", "sig"], index=batch.index)
+                parity = _parity(grams) if len(grams) else b""
+                out.append((len(grams), xxhash.xxh3_128_digest(grams.tobytes()), sign, parity))
+            frame = pd.DataFrame(out, columns=["n", "key", "sig", "parity"], index=batch.index)
             yield pd.concat([batch[["doc_id"]].astype("Int64"), frame], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, key binary, sig binary")
+    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, key binary, sig binary, parity binary")
+
+
+def _orders() -> list[np.ndarray]:
+    rng = np.random.default_rng(_SEED + 1)
+    return [rng.permutation(VALUES)[: DEPTH + TAIL] for _ in range(TREES)]
+
+
+def _region(signs: np.ndarray, tree: int, order: np.ndarray) -> np.ndarray:
+    head = signs[:, order[:DEPTH]].astype(np.uint64)
+    region = np.full(len(signs), tree + 1, dtype=np.uint64)
+    for at in range(DEPTH):
+        region = mix(region * np.uint64(65537) + head[:, at])
+    return region.view(np.int64)
 
 
 def _trees(classes: DataFrame, whole: bool) -> DataFrame:
@@ -93,8 +124,7 @@ def _trees(classes: DataFrame, whole: bool) -> DataFrame:
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng(_SEED + 1)
-        orders = [rng.permutation(VALUES)[: DEPTH + TAIL] for _ in range(TREES)]
+        orders = _orders()
         for batch in batches:
             signs = np.frombuffer(b"".join(batch.sig), dtype=">u2").reshape(-1, VALUES)
             low = (signs & (0xFF if whole else 3)).astype(np.uint8)
@@ -102,15 +132,11 @@ def _trees(classes: DataFrame, whole: bool) -> DataFrame:
                 low = np.bitwise_or.reduce(low.reshape(-1, VALUES // 4, 4) << np.array([0, 2, 4, 6], dtype=np.uint8), axis=2)
             marks = [row.tobytes() for row in low]
             for tree, order in enumerate(orders):
-                head = signs[:, order[:DEPTH]].astype(np.uint64)
-                region = np.full(len(batch), tree + 1, dtype=np.uint64)
-                for at in range(DEPTH):
-                    region = mix(region * np.uint64(65537) + head[:, at])
                 tail = np.ascontiguousarray(signs[:, order[DEPTH:]]).tobytes()
                 width = 2 * TAIL
                 yield pd.DataFrame({
                     "marks": marks,
-                    "region": region.view(np.int64),
+                    "region": _region(signs, tree, order),
                     "suffix": [tail[i : i + width] for i in range(0, len(tail), width)],
                     "id": batch.id.to_numpy(),
                     "n": batch.n.to_numpy(),
@@ -195,6 +221,92 @@ def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool)
     return found.groupBy("a", "b", "ra", "rb").agg(*[F.sum(c).alias(c) for c in ("met", "by_a", "by_b")])
 
 
+def _places(classes: DataFrame) -> DataFrame:
+    """One row per text class and tree: its region, id and group."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        orders = _orders()
+        for batch in batches:
+            signs = np.frombuffer(b"".join(batch.sig), dtype=">u2").reshape(-1, VALUES)
+            for tree, order in enumerate(orders):
+                yield pd.DataFrame({"region": _region(signs, tree, order), "id": batch.id, "root": batch.root})
+
+    return classes.select("id", "root", "sig").mapInPandas(rows, "region long, id long, root long")
+
+
+def _left_over(classes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of texts of a region that are in different groups and that no bound excludes.
+
+    In each region the rows outside its largest group meet all rows of other
+    groups. Both sides are dealt into blocks by a hash of the id; a pair of
+    blocks is one unit of work, so no region fills a task. A pair is left out if its sizes or
+    parity maps show that the sets cannot be linked. ``classes`` has the groups in ``root``.
+    """
+    places = _places(classes)
+    mixed = stored(
+        places.groupBy("region").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
+        .where("low < high").select("region", "rows"),
+        "mixed",
+    )
+    spots = stored(lookup(places, mixed, ["region"], counts=mixed, n="rows"), "spots")
+    groups = spots.groupBy("region", "root").agg(F.count("*").alias("m"))
+    table = stored(
+        groups.groupBy("region").agg(F.sum("m").alias("size"), F.max(F.struct("m", "root")).alias("top"))
+        .select(
+            "region", F.col("top.root").alias("lead"), F.ceil(F.col("size") / BLOCK).alias("targets"),
+            F.ceil((F.col("size") - F.col("top.m")) / BLOCK).alias("probes"),
+        ),
+        "regions",
+    )
+    facts = classes.select("id", "n", "parity")
+    rows = lookup(spots.drop("rows"), table, ["region"], counts=mixed, n="rows").join(facts, "id")
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+
+    def side(df: DataFrame, own: str, other: str, probe: bool) -> DataFrame:
+        return df.select(
+            "region", (spot % F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other),
+            F.lit(probe).alias("probe"), "id", "n", "root", "parity",
+        ).select("region", "targets", "probes", "probe", "id", "n", "root", "parity")
+
+    dealt = side(rows, "targets", "probes", False).union(side(rows.where("root <> lead"), "probes", "targets", True))
+    blocks = ["region", "targets", "probes"]
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            if kept is not None:
+                batch = pd.concat([kept, batch], ignore_index=True)
+            keys = batch[blocks].to_numpy()
+            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
+            for start, end in zip(edges[:-2], edges[1:-1]):
+                yield from met(batch.iloc[start:end])
+            kept = batch.iloc[edges[-2] :]  # the last block may go on in the next batch
+        if kept is not None:
+            yield from met(kept)
+
+    def met(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        probe = block.probe.to_numpy()
+        if probe.all() or not probe.any():
+            return
+        ids, n, root = (block[c].to_numpy() for c in ("id", "n", "root"))
+        maps = np.frombuffer(b"".join(block.parity), dtype=np.uint64).reshape(-1, PARITY // 64)
+        to = np.flatnonzero(~probe)
+        for one in np.flatnonzero(probe):
+            two = to[root[to] != root[one]]
+            two = two[100 * np.minimum(n[two], n[one]) >= percent * np.maximum(n[two], n[one])]
+            apart = np.bitwise_count(maps[two] ^ maps[one]).sum(axis=1, dtype=np.int64)
+            two = two[(100 + percent) * apart <= (100 - percent) * (n[two] + n[one])]
+            if len(two):
+                ahead = ids[two] > ids[one]
+                yield pd.DataFrame({
+                    "a": np.minimum(ids[two], ids[one]), "b": np.maximum(ids[two], ids[one]),
+                    "ra": np.where(ahead, root[one], root[two]), "rb": np.where(ahead, root[two], root[one]),
+                })
+
+    found = dealt.repartition(*blocks).sortWithinPartitions(*blocks).mapInPandas(pairs, "a long, b long, ra long, rb long")
+    return found.distinct()
+
+
 def _sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """Whole shingle sets of the documents in ``pairs``, and of a few others.
 
@@ -296,7 +408,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     rows = stored(_signatures(docs, words), "signatures")
     classes = stored(
         rows.where("n > 0 and doc_id is not null").groupBy("key")
-        .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")),
+        .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("parity").alias("parity")),
         "classes",
     )
     alone = classes.withColumn("root", F.col("id"))
@@ -306,10 +418,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     # A pair inside one group can add nothing; the others are confirmed as well.
     met = _with_root(_with_root(pairs.select("a", "b"), roots, "a", "ra"), roots, "b", "rb")
     roots = _merged(roots, met, sets, percent)
-    # Whoever stands in a crowded region has met someone there.
     crowded = _with_root(classes.join(_ends(pairs), "id", "left_semi"), roots, "id", "root")
     further = stored(_pairs(_trees(crowded, True), percent, REACH, AGREE_FURTHER, False), "pairs")
     roots = _merged(roots, further, sets, percent)
+    left = stored(_left_over(_with_root(classes, roots, "id", "root"), percent), "left")
+    if left.limit(1).count():
+        roots = _merged(roots, left, stored(_sets(docs, left, words), "sets"), percent)
     named = stored(_with_root(classes, roots, "id", "root").select("key", "root"), "groups")
     group = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
     return (

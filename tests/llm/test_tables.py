@@ -186,6 +186,32 @@ def test_near_copies_of_one_text(spark, words):
     check_groups(forest.near_duplicates(df, words=words).collect(), plain_groups(texts, words))
 
 
+def test_only_link_in_a_crowded_group(spark):
+    """5,000 copies of one text with own changes; 40 texts are linked with one little changed copy each and nothing else."""
+    rng = np.random.default_rng(3)
+    fresh = iter(range(10**6))
+    base = [f"w{i}" for i in range(100)]
+
+    def changed(words, places):
+        out = list(words)
+        for at in places:
+            out[at] = f"x{next(fresh)}"
+        return out
+
+    sets = [base] + [changed(base, rng.choice(100, 8, replace=False)) for _ in range(5000)]
+    for i in range(40):
+        own = rng.permutation(100)
+        near = changed(base, own[:3])
+        far = changed(near, own[3:14])
+        both = len(set(near) & set(far))
+        assert 100 * both >= 80 * (200 - both) and 100 * len(set(base) & set(far)) < 80 * (200 - len(set(base) & set(far)))
+        sets += [near, far]
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "doc_id long, text string").repartition(4)
+    rows = forest.near_duplicates(df, words=1).collect()
+    assert len(rows) == len(sets) and {r.component_id for r in rows} == {0}
+    assert [r.doc_id for r in rows if r.kept] == [0]
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     rows = forest.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
