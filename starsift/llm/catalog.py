@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starsift.llm import bpe, forest, licenses, packing, pivots, quality, secrets, sharding, suffix_tree, toxicity
+from starsift.llm import (
+    bpe, forest, licenses, packing, pivots, private, quality, secrets, sharding, suffix_tree, toxicity,
+)
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -78,11 +80,16 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(docs, tree, counts)
 
 
+def op13_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.digests(_documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_permutation_index, op2_ftrl_toxicity, op3_lpt_sharding, op4_byte_bpe, op5_best_fit_packing,
         op6_minhash_forest, op7_license_index, op8_decision_list, op9_markov_secrets, op10_suffix_tree,
+        op13_anchor_pii,
     )
 }
 
