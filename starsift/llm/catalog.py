@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starsift.llm import (
-    bpe, forest, licenses, packing, pivots, private, quality, secrets, sharding, suffix_tree, toxicity,
+    bpe, collocations, forest, licenses, packing, pivots, private, quality, secrets, sharding, suffix_tree, toxicity,
 )
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -80,6 +80,10 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(docs, tree, counts)
 
 
+def op11_de_bruijn_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_documents(spark, sf_dir))
+
+
 def op13_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.digests(_documents(spark, sf_dir))
 
@@ -89,7 +93,7 @@ QUERIES = {
     for f in (
         op1_permutation_index, op2_ftrl_toxicity, op3_lpt_sharding, op4_byte_bpe, op5_best_fit_packing,
         op6_minhash_forest, op7_license_index, op8_decision_list, op9_markov_secrets, op10_suffix_tree,
-        op13_anchor_pii,
+        op11_de_bruijn_phrases, op13_anchor_pii,
     )
 }
 
@@ -98,7 +102,7 @@ SQL = {
         with recursive words as (
             select doc_id, list_filter(regexp_split_to_array(
                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                '[\x20\x09-\x0D]+'), x -> x <> '') as w
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
             from documents
         ), sets as (
             select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
@@ -116,4 +120,43 @@ SQL = {
             coalesce(least(s.doc_id, low.y), s.doc_id) = s.doc_id as kept
         from sets s left join low using (doc_id)
     """,
+    "op11_de_bruijn_phrases": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) as piece
+            from documents
+        ), walks as (
+            select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces
+        ), counted as (
+            select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as f
+            from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i
+                  from walks, (select unnest(range(1, 6)) as k) where len(w) >= k)
+            group by all
+        ), totals as (select lang, sum(f)::hugeint as n from counted where k = 1 group by lang
+        ), often as (select * from counted where f >= 100
+        ), inside as (
+            select lang, array_to_string(string_split(phrase, ' ')[i : i + m - 1], ' ') as phrase, max(f) as f
+            from (select lang, phrase, k, f, m, unnest(range(1, k - m + 2)) as i
+                  from often, (select unnest(range(2, 5)) as m) where m < k)
+            group by all
+        ), cuts as (
+            select o.lang, o.phrase, o.f as a, unnest(range(1, o.k)) as c, o.k
+            from often o left join inside i using (lang, phrase)
+            where o.k > 1 and (i.f is null or 100 * i.f < 100 * o.f)
+        ), scored as (
+            select c.lang, c.phrase, c.a, x.f as l, y.f as r, t.n, c.c,
+                (1000::hugeint * c.a * t.n) // (x.f::hugeint * y.f) as score
+            from cuts c join totals t using (lang)
+            join often x on x.lang = c.lang and x.phrase = array_to_string(string_split(c.phrase, ' ')[: c.c], ' ')
+            join often y on y.lang = c.lang and y.phrase = array_to_string(string_split(c.phrase, ' ')[c.c + 1 :], ' ')
+        ), lowest as (
+            select *, row_number() over (partition by lang, phrase order by score, c) as place from scored
+        ), ranked as (
+            select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank,
+                phrase, a, l, r, n::bigint as n, score::bigint as score
+            from lowest where place = 1
+        )
+        select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+    """,
 }
