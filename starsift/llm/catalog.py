@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starsift.llm import (
-    bpe, collocations, forest, licenses, packing, pivots, private, quality, secrets, sharding, suffix_tree, toxicity,
+    bpe, collocations, forest, gnat, licenses, packing, pivots, private, quality, secrets, sharding, suffix_tree, toxicity,
 )
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -84,6 +84,12 @@ def op11_de_bruijn_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_documents(spark, sf_dir))
 
 
+def op12_gnat_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; a seventh of the labels is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return gnat.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
 def op13_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.digests(_documents(spark, sf_dir))
 
@@ -93,7 +99,7 @@ QUERIES = {
     for f in (
         op1_permutation_index, op2_ftrl_toxicity, op3_lpt_sharding, op4_byte_bpe, op5_best_fit_packing,
         op6_minhash_forest, op7_license_index, op8_decision_list, op9_markov_secrets, op10_suffix_tree,
-        op11_de_bruijn_phrases, op13_anchor_pii,
+        op11_de_bruijn_phrases, op12_gnat_negatives, op13_anchor_pii,
     )
 }
 
@@ -159,4 +165,27 @@ SQL = {
         )
         select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
     """,
+    "op12_gnat_negatives": r"""
+        with vectors as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                list_transform(embedding, lambda x: floor(256 * x::double)) as v
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+                list_inner_product(a.v, b.v)::bigint as score
+            from vectors a join vectors b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+        ), positives as (
+            select anchor_id, vec_id as positive_id, score as positive_score
+            from scored where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+        )
+        select p.anchor_id, p.positive_id,
+            row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)::integer as rank,
+            s.vec_id as negative_id, p.positive_score, s.score as negative_score
+        from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+            and 80 * p.positive_score <= 100 * s.score and s.score <= p.positive_score
+        qualify row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) <= 5
+    """,
 }
