@@ -35,7 +35,7 @@ _FOLD = bytes.maketrans(
 )
 # --- end of fixed values ---
 #: Tokens counted at a time, and words remembered between blocks.
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Bits of the bitmap for each frequent word or pair, least and most bits (2 ** 27 are 16 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 27
 #: Bits of one row of Spark's bitmap aggregate.
