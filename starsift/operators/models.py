@@ -18,7 +18,6 @@ from pyspark.ml.feature import (
     RegexTokenizer,
     StringIndexer,
     Tokenizer,
-    Word2Vec,
 )
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from starsift.functions.vectors import by_batch
 from starsift.operators.metrics import best_point, mean_over_folds
 from starsift.operators.sampling import fold_frames
+from starsift.operators.wordvectors import SkipGram
 
 # --- fixed values: model settings and hyperparameter grids ---
 HASH_FEATURES = 200
@@ -75,23 +75,12 @@ def tfidf_stages(text: str = "text", out: str = "features", n: int = HASH_FEATUR
 
 
 def word2vec_stages(
-    text: str = "text",
-    out: str = "features",
-    size: int = WORD_VECTOR_SIZE,
-    *,
-    seed: int = 1234,
-    partitions: int = 8,
-    min_count: int = 5,
-    max_iter: int = 1,
+    text: str = "text", out: str = "features", size: int = WORD_VECTOR_SIZE, *, key: str = "review_id", **settings
 ) -> list:
-    """Word2Vec trains one model copy per partition and averages them, so more
-    partitions are faster but need more iterations for the same quality."""
+    """Words and their skip-gram document vectors; ``settings`` are those of ``wordvectors.train``."""
     return [
         RegexTokenizer(inputCol=text, outputCol="words", pattern="\\W"),
-        Word2Vec(
-            vectorSize=size, inputCol="words", outputCol=out, seed=seed,
-            numPartitions=partitions, minCount=min_count, maxIter=max_iter,
-        ),
+        SkipGram(inputCol="words", outputCol=out).with_settings(key, size=size, **settings),
     ]
 
 

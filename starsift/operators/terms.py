@@ -36,9 +36,10 @@ def term_frequency(
     """Occurrences of each term in each document: key, term, tf.
 
     A document is one row, so its tokens are counted inside the row, as runs of
-    the sorted array; nothing is shuffled. ``keep`` names columns to carry along.
+    the sorted array; nothing is shuffled. Null tokens do not count. ``keep`` names columns to
+    carry along.
     """
-    rows = df.select(key, *keep, F.sort_array(tokens).alias("_sorted"))
+    rows = df.select(key, *keep, F.sort_array(F.array_compact(tokens)).alias("_sorted"))
     size, item = F.size("_sorted"), F.col("_sorted")
     # Places (from 1) where a run begins; null for an empty document.
     begins = F.filter(
