@@ -1,6 +1,8 @@
 """MLlib features, training, tuning and scoring: the language of a text is the class.
 
-These queries have no SQL counterpart; the tests check their invariants.
+Networks and grids are the described ones. The searches keep a ledger in the shared
+folder, so a stopped one goes on and ``best_params`` uses the fits of ``cv_rf``. SQL
+says what it can: ids, folds, grid points, counts, equality; the tests check the rest.
 """
 
 from __future__ import annotations
@@ -14,13 +16,12 @@ from starsift.catalog.fixtures import view
 from starsift.catalog.registry import query
 from starsift.catalog.texts import tokenized
 from starsift.operators import models, sampling
-from starsift.session import scratch_path
+from starsift.session import scratch_path, shared_path
 
 HASH_WIDTH = models.HASH_FEATURES
 VECTOR_SIZE = models.WORD_VECTOR_SIZE
-#: Small grids; the full ones are constants of ``operators.models``.
-SMALL_MLP_GRID = {"maxIter": [5, 10]}
-SMALL_FOREST_GRID = {"maxDepth": [3, 5]}
+#: Rows a class gives to a fit at most, and network iterations between two entries of the ledger.
+CLASS_ROWS, SEGMENT = 5_000, 50
 
 
 def labelled_docs(spark, sf_dir):
@@ -32,7 +33,7 @@ def labelled_docs(spark, sf_dir):
 
 def _parts(spark, sf_dir):
     df = labelled_docs(spark, sf_dir)
-    return df.filter("split = 'train'"), df.filter("split = 'test'")
+    return sampling.balance_classes(df.filter("split = 'train'"), CLASS_ROWS), df.filter("split = 'test'")
 
 
 def _label_model(train):
@@ -52,9 +53,7 @@ def _scored(model, test, labels):
 
 def mlp_stages(labels):
     # handleInvalid="keep" adds one index for unseen labels.
-    return models.tfidf_stages(), models.perceptron(
-        HASH_WIDTH, len(labels) + 1, max_iter=20, hidden=[32]
-    )
+    return models.tfidf_stages(), models.perceptron(HASH_WIDTH, len(labels) + 1)
 
 
 @query("hashing_tf")
@@ -115,29 +114,42 @@ def tune_mlp(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
     labels = _label_model(train)
     features, clf = mlp_stages(labels.labels)
-    return models.cross_validate(labels.transform(train), features, clf, SMALL_MLP_GRID)
+    return models.cross_validate(
+        labels.transform(train), features, clf, models.MLP_TUNING_GRID, parallelism=5,
+        segment=SEGMENT, ledger=shared_path(spark, "search"),
+    )
 
 
 def tune_forest(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
     labels = _label_model(train)
     return models.cross_validate(
-        labels.transform(train),
-        models.word2vec_stages(size=VECTOR_SIZE),
-        models.forest(numTrees=10),
-        SMALL_FOREST_GRID,
-        parallelism=5,
+        labels.transform(train), models.word2vec_stages(size=VECTOR_SIZE), models.forest(),
+        models.FOREST_GRID, parallelism=5, ledger=shared_path(spark, "search"),
     )
 
 
-@query("cv_mlp")
+def _grid_sql(grid):
+    """Every point of a grid, in order, with every fold."""
+    points = [",".join(f"{n}={v}" for n, v in p.items()) for p in models.grid_points(grid)]
+    rows = ", ".join(f"({i}, '{p}', {k})" for i, p in enumerate(points) for k in range(models.FOLDS))
+    return f"""select grid_id::integer as grid_id, params, fold::integer as fold, true as in_range
+        from (values {rows}) as t(grid_id, params, fold)"""
+
+
+def _reported(tuned):
+    within = F.col("accuracy").between(0.0, 1.0)
+    return tuned.metrics.select("grid_id", "params", "fold", within.alias("in_range"))
+
+
+@query("cv_mlp", _grid_sql(models.MLP_TUNING_GRID))
 def cv_mlp(spark, sf_dir):
-    return tune_mlp(spark, sf_dir).metrics
+    return _reported(tune_mlp(spark, sf_dir))
 
 
-@query("cv_rf")
+@query("cv_rf", _grid_sql(models.FOREST_GRID))
 def cv_rf(spark, sf_dir):
-    return tune_forest(spark, sf_dir).metrics
+    return _reported(tune_forest(spark, sf_dir))
 
 
 @query("best_params")
@@ -150,7 +162,7 @@ def model_roundtrip(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
     labels = _label_model(train)
     features, clf = mlp_stages(labels.labels)
-    model = models.fit_classifier(labels.transform(train), features, clf.setMaxIter(5))
+    model = models.fit_classifier(labels.transform(train), features, clf)
     loaded = models.save_and_load(model, scratch_path(spark, "model"))
     before = models.score(model, test).select("review_id", F.col("prediction").alias("before"))
     after = models.score(loaded, test).select("review_id", F.col("prediction").alias("after"))

@@ -19,13 +19,16 @@ from pyspark.ml.feature import (
     StringIndexer,
     Tokenizer,
 )
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starsift.functions.vectors import by_batch
+from starsift.operators.ledger import Ledger, fingerprint, text_of
 from starsift.operators.metrics import best_point, mean_over_folds
 from starsift.operators.sampling import fold_frames
 from starsift.operators.wordvectors import SkipGram
+from starsift.session import stored
 
 # --- fixed values: model settings and hyperparameter grids ---
 HASH_FEATURES = 200
@@ -122,8 +125,10 @@ def store_level() -> StorageLevel:
     return StorageLevel.MEMORY_AND_DISK
 
 
-def fit_classifier(df: DataFrame, features: Sequence, classifier: Estimator) -> PipelineModel:
-    """Feature stages and classifier fitted in turn, as one model.
+def fit_classifier(
+    df: DataFrame, features: Sequence, classifier: Estimator, segment: int | None = None
+) -> PipelineModel:
+    """Feature stages and classifier fitted in turn, as one model; ``segment`` as in ``cross_validate``.
 
     A classifier passes over its input many times, so the features are computed
     once and kept while it is fitted; memory pressure moves them to disk.
@@ -132,7 +137,15 @@ def fit_classifier(df: DataFrame, features: Sequence, classifier: Estimator) ->
     columns = [classifier.getOrDefault(c) for c in ("featuresCol", "labelCol")]
     train = stages.transform(df).select(*columns).persist(store_level())
     try:
-        return PipelineModel(stages=[*stages.stages, classifier.fit(train)])
+        if not segment:
+            return PipelineModel(stages=[*stages.stages, classifier.fit(train)])
+        done, weights, model = 0, None, None
+        for upto in _steps(classifier.getMaxIter(), segment):
+            model = _fit_segment(classifier, train, {}, done, upto, weights)
+            done, weights = upto, model.weights.toArray()
+        # The model's settings name all iterations, not those of the last segment.
+        model.clear(model.initialWeights)
+        return PipelineModel(stages=[*stages.stages, model._set(maxIter=classifier.getMaxIter())])
     finally:
         train.unpersist()
 
@@ -154,6 +167,27 @@ class TunedModel:
         return spark.createDataFrame(rows, "name string, value string")
 
 
+def _chains(grid: Mapping[str, Sequence], segment: int | None) -> list[list[tuple[int, dict]]]:
+    """Grid points that one fit after another can serve, by rising ``maxIter``; else each for itself."""
+    chains: dict[str, list] = {}
+    for i, point in enumerate(grid_points(grid)):
+        shared = {n: v for n, v in point.items() if not (segment and n == "maxIter")}
+        chains.setdefault(text_of(shared) if segment else str(i), []).append((i, point))
+    return [sorted(c, key=lambda x: (x[1].get("maxIter", 0), x[0])) for c in chains.values()]
+
+
+def _steps(iterations: int, segment: int) -> list[int]:
+    return [*range(segment, iterations, segment), iterations]
+
+
+def _fit_segment(classifier: Estimator, train: DataFrame, point: dict, done: int, upto: int, weights) -> Model:
+    """The classifier after iterations ``done`` to ``upto``, from the weights at ``done``."""
+    extra = {classifier.getParam(n): v for n, v in {**point, "maxIter": upto - done}.items()}
+    if weights is not None:
+        extra[classifier.initialWeights] = Vectors.dense(weights)
+    return classifier.fit(train, extra)
+
+
 def cross_validate(
     df: DataFrame,
     features: Sequence,
@@ -164,12 +198,22 @@ def cross_validate(
     folds: int = FOLDS,
     evaluator: Evaluator | None = None,
     parallelism: int = 1,
+    segment: int | None = None,
+    ledger: str | None = None,
 ) -> TunedModel:
     """Grid search over given folds, then one fit of the best point on all rows.
 
     Feature stages are fitted on the training rows of each fold only (no
     leakage), and once per fold rather than once per grid point. Every point is
     scored on the held-out fold; the best mean wins, the first point on a tie.
+
+    With ``segment``, a network is trained so many iterations at a time, each
+    segment from the weights of the one before (the solver starts anew with them).
+    Points that differ in ``maxIter`` alone are then stages of one training.
+
+    With a folder ``ledger``, every finished fit is recorded there. A search over the
+    same rows and settings that was stopped reads it and fits only what is
+    absent; a fold without anything absent computes no features.
     """
     spark = df.sparkSession
     evaluator = evaluator or MulticlassClassificationEvaluator(
@@ -177,33 +221,58 @@ def cross_validate(
     )
     metric = evaluator.getMetricName()
     columns = [classifier.getOrDefault(c) for c in ("featuresCol", "labelCol")]
-    maps, points = param_maps(classifier, grid), grid_points(grid)
-    results = []
+    points, chains = grid_points(grid), _chains(grid, segment)
+    df = stored(df, "search")
+    run = fingerprint(df, list(features), classifier, metric, segment, folds) if ledger else ""
+    record = Ledger(spark, ledger, run)
+
+    def finished(chain: list, k: int) -> bool:
+        return all((e := record.get(k, point)) and e.metric is not None for _, point in chain)
+
+    def fit_chain(chain: list, k: int, train: DataFrame, held_out: DataFrame) -> None:
+        if not segment:
+            for _, point in chain:
+                model = classifier.fit(train, {classifier.getParam(n): v for n, v in point.items()})
+                record.put(k, point, float(evaluator.evaluate(model.transform(held_out))))
+            return
+        wanted = {point.get("maxIter", classifier.getMaxIter()): point for _, point in chain}
+        done, weights = 0, None
+        for upto in sorted({s for most in wanted for s in _steps(most, segment)}):
+            point = {**chain[0][1], "maxIter": upto}
+            key = wanted.get(upto, point)
+            entry = record.get(k, key)
+            if entry is None or (upto in wanted and entry.metric is None):
+                model = _fit_segment(classifier, train, point, done, upto, weights)
+                value = float(evaluator.evaluate(model.transform(held_out))) if upto in wanted else None
+                entry = record.put(k, key, value, model.weights.toArray().tolist())
+            done, weights = upto, entry.weights
+
     for k in range(folds):
+        open_chains = [c for c in chains if not finished(c, k)]
+        if not open_chains:
+            continue
         train, held_out = fold_frames(df, k, fold)
         stages = Pipeline(stages=list(features)).fit(train)
         train = stages.transform(train).select(*columns).persist(store_level())
         held_out = stages.transform(held_out).select(*columns).persist(store_level())
-        fits = classifier.fitMultiple(train, maps)
-
-        def run(_, fits=fits, held_out=held_out, k=k):
-            i, model = next(fits)
-            return i, k, float(evaluator.evaluate(model.transform(held_out)))
-
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            results += list(pool.map(run, maps))
-        train.unpersist()
-        held_out.unpersist()
+        try:
+            with ThreadPoolExecutor(max_workers=parallelism) as pool:
+                list(pool.map(lambda c: fit_chain(c, k, train, held_out), open_chains))
+        finally:
+            train.unpersist()
+            held_out.unpersist()
     rows = [
-        (i, ",".join(f"{n}={v}" for n, v in points[i].items()), k, value)
-        for i, k, value in sorted(results)
+        (i, ",".join(f"{n}={v}" for n, v in point.items()), k, record.get(k, point).metric)
+        for i, point in enumerate(points) for k in range(folds)
     ]
     metrics = spark.createDataFrame(
         rows, f"grid_id int, params string, fold int, {metric} double"
     )
     means = mean_over_folds(metrics, values=[metric])
     best = best_point(means, metric=metric).first()["grid_id"]
-    fitted = fit_classifier(df, features, classifier.copy(maps[best]))
+    fitted = fit_classifier(
+        df, features, classifier.copy({classifier.getParam(n): v for n, v in points[best].items()}), segment
+    )
     return TunedModel(metrics, means, best, points[best], fitted)
 
 

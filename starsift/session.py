@@ -46,13 +46,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     All executors must see it, so a machine-local folder is used only when the
     setting is missing and the session itself is local.
     """
+    return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """The same folder name under the session's ``spark.checkpoint.dir`` whenever asked."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="starsift-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/starsift-{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/starsift-{name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

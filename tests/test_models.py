@@ -44,6 +44,52 @@ def test_cross_validation(spark, labelled):
     assert params["maxIter"] == str(tuned.best_params["maxIter"])
 
 
+@pytest.mark.parametrize("network", [True, False])
+def test_a_stopped_search_goes_on(spark, labelled, tmp_path, monkeypatch, network):
+    df, _ = labelled
+    if network:
+        search = (models.tfidf_stages(n=16), models.perceptron(16, 3, hidden=[4]), {"maxIter": [4, 10, 6], "blockSize": [32, 64]})
+        how = {"folds": 3, "segment": 4, "parallelism": 2}
+    else:
+        search = (models.tfidf_stages(n=16), models.forest(), {"numTrees": [2, 3], "maxDepth": [2, 3]})
+        how = {"folds": 3, "parallelism": 2}
+    kind = type(search[1])
+    whole = models.cross_validate(df, *search, **how, ledger=str(tmp_path / "whole"))
+    fit, fits = kind.fit, []
+
+    def stopping(limit):
+        def run(self, *args):
+            if len(fits) >= limit:
+                raise KeyError("stopped")
+            fits.append(1)
+            return fit(self, *args)
+        return run
+
+    path = str(tmp_path / "stopped")
+    monkeypatch.setattr(kind, "fit", stopping(5))
+    with pytest.raises(KeyError):
+        models.cross_validate(df, *search, **how, ledger=path)
+    monkeypatch.setattr(kind, "fit", stopping(10**6))
+    resumed = models.cross_validate(df, *search, **how, ledger=path)
+    assert resumed.metrics.collect() == whole.metrics.collect() and resumed.best_params == whole.best_params
+    # A segment is fitted once: iterations 4, 6, 8 and 10 of both block sizes; the refit comes on top.
+    refit = -(-resumed.best_params["maxIter"] // 4) if network else 1
+    assert len(fits) == 3 * (2 * 4 if network else 4) + refit
+    fits.clear()
+    models.cross_validate(df, *search, **how, ledger=path)
+    assert len(fits) == refit
+    fits.clear()
+    models.cross_validate(df.where("review_id <> 7"), *search, **how, ledger=path)
+    assert len(fits) > refit
+
+
+def test_segments_go_on_from_saved_weights(labelled):
+    df, _ = labelled
+    clf = models.perceptron(16, 3, hidden=[4], max_iter=9)
+    model = models.fit_classifier(df, models.tfidf_stages(n=16), clf, segment=4).stages[-1]
+    assert model.getOrDefault("maxIter") == 9 and not model.isSet(model.initialWeights)
+
+
 def test_features_are_fitted_on_training_rows_only(labelled):
     df, _ = labelled
     train = df.filter("fold = 0")
