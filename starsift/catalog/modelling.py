@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from starsift.catalog.fixtures import view
 from starsift.catalog.registry import query
-from starsift.catalog.texts import tokenized
+from starsift.catalog.relational import sql_hash
+from starsift.catalog.texts import TERMS_SQL, tokenized
 from starsift.operators import models, sampling
 from starsift.session import scratch_path, shared_path
 
@@ -69,6 +70,15 @@ def hashing_tf(spark, sf_dir):
     )
 
 
+@query(
+    "hashing_tf_sums",
+    f"with {TERMS_SQL} select review_id, len(tokens) as n_tokens, len(tokens) as tf_sum from docs",
+    ("review_docs",),
+)
+def hashing_tf_sums(spark, sf_dir):
+    return hashing_tf(spark, sf_dir).select("review_id", "n_tokens", "tf_sum")
+
+
 @query("word2vec_doc")
 def word2vec_doc(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
@@ -77,7 +87,23 @@ def word2vec_doc(spark, sf_dir):
     return docs.select("review_id", vector_to_array("features").alias("embedding"))
 
 
-@query("feature_pipeline")
+LABELLED_SQL = f"""labelled as (
+    select review_id, review_body as text, lang as label,
+      case when {sql_hash('review_id', 1234)} % 100 < 90 then 'train' else 'test' end as split
+    from review_docs where review_body is not null),
+  capped as (select label, least(count(*), {CLASS_ROWS}) as n from labelled
+    where split = 'train' and label is not null group by label),
+  indexed as (select label, row_number() over (order by n desc, label) - 1 as label_idx from capped)"""
+
+
+@query(
+    "feature_pipeline",
+    f"""with {LABELLED_SQL} select review_id, label,
+          coalesce(label_idx, (select count(*) from capped))::double as label_idx,
+          len(regexp_extract_all(lower(text), '[a-z0-9_]+')) as n_words
+        from labelled left join indexed using (label)""",
+    ("review_docs",),
+)
 def feature_pipeline(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
     stages = [*models.word2vec_stages(size=VECTOR_SIZE), models.label_stage()]
@@ -110,22 +136,22 @@ def rf_predict(spark, sf_dir):
     return _scored(model, test, labels.labels)
 
 
-def tune_mlp(spark, sf_dir):
+def tune_mlp(spark, sf_dir, refit=True):
     train, _ = _parts(spark, sf_dir)
     labels = _label_model(train)
     features, clf = mlp_stages(labels.labels)
     return models.cross_validate(
         labels.transform(train), features, clf, models.MLP_TUNING_GRID, parallelism=5,
-        segment=SEGMENT, ledger=shared_path(spark, "search"),
+        segment=SEGMENT, ledger=shared_path(spark, "search"), refit=refit,
     )
 
 
-def tune_forest(spark, sf_dir):
+def tune_forest(spark, sf_dir, refit=True):
     train, _ = _parts(spark, sf_dir)
     labels = _label_model(train)
     return models.cross_validate(
         labels.transform(train), models.word2vec_stages(size=VECTOR_SIZE), models.forest(),
-        models.FOREST_GRID, parallelism=5, ledger=shared_path(spark, "search"),
+        models.FOREST_GRID, parallelism=5, ledger=shared_path(spark, "search"), refit=refit,
     )
 
 
@@ -142,14 +168,24 @@ def _reported(tuned):
     return tuned.metrics.select("grid_id", "params", "fold", within.alias("in_range"))
 
 
-@query("cv_mlp", _grid_sql(models.MLP_TUNING_GRID))
+@query("cv_mlp")
 def cv_mlp(spark, sf_dir):
-    return _reported(tune_mlp(spark, sf_dir))
+    return tune_mlp(spark, sf_dir, refit=False).metrics
+
 
+@query("cv_mlp_points", _grid_sql(models.MLP_TUNING_GRID))
+def cv_mlp_points(spark, sf_dir):
+    return _reported(tune_mlp(spark, sf_dir, refit=False))
 
-@query("cv_rf", _grid_sql(models.FOREST_GRID))
+
+@query("cv_rf")
 def cv_rf(spark, sf_dir):
-    return _reported(tune_forest(spark, sf_dir))
+    return tune_forest(spark, sf_dir, refit=False).metrics
+
+
+@query("cv_rf_points", _grid_sql(models.FOREST_GRID))
+def cv_rf_points(spark, sf_dir):
+    return _reported(tune_forest(spark, sf_dir, refit=False))
 
 
 @query("best_params")
@@ -167,3 +203,13 @@ def model_roundtrip(spark, sf_dir):
     before = models.score(model, test).select("review_id", F.col("prediction").alias("before"))
     after = models.score(loaded, test).select("review_id", F.col("prediction").alias("after"))
     return before.join(after, "review_id")
+
+
+@query(
+    "model_roundtrip_same",
+    f"with {LABELLED_SQL} select review_id, true as same from labelled where split = 'test'",
+    ("review_docs",),
+)
+def model_roundtrip_same(spark, sf_dir):
+    rows = model_roundtrip(spark, sf_dir)
+    return rows.select("review_id", F.col("before").eqNullSafe(F.col("after")).alias("same"))

@@ -258,3 +258,60 @@ def batch_score_udf(spark, sf_dir):
     return df.select(
         "vec_id", *[F.round(F.col("s")[j], 6).alias(f"s{j}") for j in range(CLASSES)]
     )
+
+
+@query("batch_score_saved", _head_sql())
+def batch_score_saved(spark, sf_dir):
+    """The head of ``dense_softmax_score``, written to storage and opened by each worker."""
+    path = scratch_path(spark, "head")
+    models.save_weights(spark, path, head_layers())
+    score = models.saved_scorer(path, DIMS, batch_size=256)
+    df = view(spark, sf_dir, "embeddings").select("vec_id", score("embedding").alias("p"))
+    return df.select(
+        "vec_id",
+        *[F.round(F.col("p")[j], 6).alias(f"p{j}") for j in range(CLASSES)],
+        argmax("p").alias("predicted"),
+    )
+
+
+LENGTHS_SQL = f"""{TOKENS_SQL}, sized as (select review_id, len(tokens) as n_tokens from docs),
+    placed as (select *, (row_number() over (order by n_tokens, review_id) - 1) // 32 as by_length,
+                 (row_number() over (order by review_id) - 1) // 32 as in_order from sized)"""
+
+
+def _sized(spark, sf_dir):
+    return tokenized(spark, sf_dir).select("review_id", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+@query(
+    "length_batches",
+    f"with {LENGTHS_SQL} select review_id, n_tokens, by_length as batch from placed",
+    ("review_docs",),
+)
+def length_batches(spark, sf_dir):
+    return numbering.length_batches(_sized(spark, sf_dir), 32)
+
+
+@query(
+    "padding_share",
+    f"""with {LENGTHS_SQL},
+        a as (select by_length, max(n_tokens) * count(*) as cells, sum(n_tokens) as used from placed group by 1),
+        b as (select in_order, max(n_tokens) * count(*) as cells, sum(n_tokens) as used from placed group by 1),
+        x as (select sum(cells)::bigint as c, sum(cells - used)::bigint as p from a),
+        y as (select sum(cells)::bigint as c, sum(cells - used)::bigint as p from b)
+        select 'by_length' as batching, c as cells, p as padding, round(p / c::double, 6) as share from x
+        union all select 'in_order', c, p, round(p / c::double, 6) from y""",
+    ("review_docs",),
+)
+def padding_share(spark, sf_dir):
+    rows = _sized(spark, sf_dir)
+    unordered = numbering.numbered(rows, [F.col("review_id")], "_place")
+    frames = {
+        "by_length": numbering.length_batches(rows, 32),
+        "in_order": unordered.select("n_tokens", F.floor(F.col("_place") / 32).alias("batch")),
+    }
+    parts = [
+        numbering.padding_share(df).select(F.lit(name).alias("batching"), "cells", "padding", F.round("share", 6).alias("share"))
+        for name, df in frames.items()
+    ]
+    return parts[0].unionByName(parts[1])

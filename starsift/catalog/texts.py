@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from starsift.catalog.fixtures import view
 from starsift.catalog.registry import query
 from starsift.functions import text as tx
-from starsift.operators import terms
+from starsift.operators import dictionary, terms
 
 WS_SQL = r"regexp_split_to_array(regexp_replace(lower(review_body), '\s+$', ''), '\s')"
 TOKENS_SQL = f"""docs as (select review_id, product_id, star_rating, {WS_SQL} as tokens
@@ -178,3 +178,35 @@ def label_index(spark, sf_dir):
     return terms.label_index(view(spark, sf_dir, "review_docs"), "lang").withColumnRenamed(
         "lang", "label"
     )
+
+
+@query(
+    "count_vectors",
+    f"""with {TERMS_SQL}, ids as (
+          select term, row_number() over (order by df desc, term) - 1 as id from freq where df >= 2)
+        select review_id, term, id, tf from tf join ids using (term)""",
+    ("review_docs",),
+)
+def count_vectors(spark, sf_dir):
+    return dictionary.count_terms(tokenized(spark, sf_dir), min_df=2)
+
+
+@query(
+    "count_vectors_sparse",
+    f"""with {TERMS_SQL}, ids as (
+          select term, row_number() over (order by df desc, term) - 1 as id from freq where df >= 2),
+        v as (select review_id, count(*) as n, sum(id) as ids, sum(tf) as total, max(id) as last
+              from tf join ids using (term) group by review_id)
+        select review_id, coalesce(n, 0) as n_indices, coalesce(ids, 0)::bigint as index_sum,
+          coalesce(total, 0)::bigint as count_sum, coalesce(last, -1) as last_index
+        from docs left join v using (review_id)""",
+    ("review_docs",),
+)
+def count_vectors_sparse(spark, sf_dir):
+    rows = dictionary.count_vectors(tokenized(spark, sf_dir), min_df=2)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select(
+        "review_id", F.size("indices").cast("bigint").alias("n_indices"), total("indices").alias("index_sum"),
+        total("counts").alias("count_sum"),
+        F.coalesce(F.try_element_at("indices", F.lit(-1)), F.lit(-1)).cast("bigint").alias("last_index"),
+    )

@@ -33,6 +33,18 @@ def by_batch(x: pd.Series, run) -> pd.Series:
     return pd.Series(out)
 
 
+def layered(layers: Sequence[Layer]):
+    """The stack of layers as a function of a matrix of rows."""
+    mats = [(np.asarray(w, float), np.asarray(b, float), kind) for w, b, kind in layers]
+
+    def run(out: np.ndarray) -> np.ndarray:
+        for weights, bias, kind in mats:
+            out = _activate(out @ weights + bias, kind)
+        return out
+
+    return run
+
+
 def dense(c: Column | str, layers: Sequence[Layer]) -> Column:
     """Scores of a stack of (weights[in][out], bias[out], activation) layers.
 
@@ -40,16 +52,11 @@ def dense(c: Column | str, layers: Sequence[Layer]) -> Column:
     the task, so this is for classifier heads, not for embedding tables. A null
     vector gives null.
     """
-    mats = [(np.asarray(w, float), np.asarray(b, float), kind) for w, b, kind in layers]
-
-    def layers_of(out: np.ndarray) -> np.ndarray:
-        for weights, bias, kind in mats:
-            out = _activate(out @ weights + bias, kind)
-        return out
+    run = layered(layers)
 
     @F.pandas_udf("array<double>")
     def score(x: pd.Series) -> pd.Series:
-        return by_batch(x, layers_of)
+        return by_batch(x, run)
 
     return score(F.col(c) if isinstance(c, str) else c)
 

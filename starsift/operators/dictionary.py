@@ -7,42 +7,22 @@ before it end.
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starsift.operators.lookup import lookup
+from starsift.operators.numbering import numbered
 from starsift.operators.terms import document_frequency, term_frequency
 from starsift.session import stored
 
-#: Bits that ``monotonically_increasing_id`` leaves to the place within a partition.
-_PLACE_BITS = 33
-
 
 def with_ids(counts: DataFrame, *, term: str = "term", n: str = "df", least: int = 1) -> DataFrame:
     """``term, n, id``: ids from 0 by falling ``n``, ties by the term, for terms counted ``least`` times or more.
 
-    ``counts`` has one row per term; null terms get no id. What reaches the driver is
-    one count per range.
+    ``counts`` has one row per term; null terms get no id.
     """
-    ordered = (
-        counts.where((F.col(n) >= least) & F.col(term).isNotNull()).select(term, n)
-        .repartitionByRange(F.col(n).desc(), F.col(term))
-        .sortWithinPartitions(F.col(n).desc(), F.col(term))
-        .withColumn("_place", F.monotonically_increasing_id())
-    )
-    ordered = stored(ordered, "dictionary")
-    part = F.shiftright("_place", _PLACE_BITS)
-    sizes = sorted(ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
-    starts = [0, *accumulate(r.n for r in sizes)]
-    offsets = ordered.sparkSession.createDataFrame(
-        [(r.part, at) for r, at in zip(sizes, starts)], "_part long, _offset long"
-    )
-    place = F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
-    return ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(
-        term, n, (F.col("_offset") + place).alias("id")
-    )
+    kept = counts.where((F.col(n) >= least) & F.col(term).isNotNull()).select(term, n)
+    return numbered(kept, [F.col(n).desc(), F.col(term)], "id")
 
 
 def count_terms(df: DataFrame, *, key: str = "review_id", tokens: str = "tokens", min_df: int = 1) -> DataFrame:

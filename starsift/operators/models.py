@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -19,11 +20,13 @@ from pyspark.ml.feature import (
     StringIndexer,
     Tokenizer,
 )
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from starsift.functions.vectors import by_batch
+from starsift.functions.vectors import Layer, by_batch, layered
 from starsift.operators.ledger import Ledger, fingerprint, text_of
 from starsift.operators.metrics import best_point, mean_over_folds
 from starsift.operators.sampling import fold_frames
@@ -158,7 +161,7 @@ class TunedModel:
     means: DataFrame  # grid_id, folds, <metric>
     best_id: int
     best_params: dict
-    model: PipelineModel
+    model: PipelineModel | None
 
     def best_param_frame(self, spark: SparkSession) -> DataFrame:
         """(name, value) of every parameter of the best classifier."""
@@ -200,6 +203,7 @@ def cross_validate(
     parallelism: int = 1,
     segment: int | None = None,
     ledger: str | None = None,
+    refit: bool = True,
 ) -> TunedModel:
     """Grid search over given folds, then one fit of the best point on all rows.
 
@@ -213,7 +217,8 @@ def cross_validate(
 
     With a folder ``ledger``, every finished fit is recorded there. A search over the
     same rows and settings that was stopped reads it and fits only what is
-    absent; a fold without anything absent computes no features.
+    absent; a fold without anything absent computes no features. Without ``refit`` the
+    result has no model.
     """
     spark = df.sparkSession
     evaluator = evaluator or MulticlassClassificationEvaluator(
@@ -270,9 +275,8 @@ def cross_validate(
     )
     means = mean_over_folds(metrics, values=[metric])
     best = best_point(means, metric=metric).first()["grid_id"]
-    fitted = fit_classifier(
-        df, features, classifier.copy({classifier.getParam(n): v for n, v in points[best].items()}), segment
-    )
+    chosen = classifier.copy({classifier.getParam(n): v for n, v in points[best].items()})
+    fitted = fit_classifier(df, features, chosen, segment) if refit else None
     return TunedModel(metrics, means, best, points[best], fitted)
 
 
@@ -305,3 +309,40 @@ def batch_score(c: Column | str, predict, returns: str = "array<double>") -> Col
         return by_batch(x, predict)
 
     return run(F.col(c) if isinstance(c, str) else c)
+
+
+def save_weights(spark: SparkSession, path: str, layers: Sequence[Layer]) -> None:
+    """Layers ``(weights[in][out], bias, activation)`` as a table, one row per input unit and one for the bias."""
+    rows = []
+    for at, (weights, bias, kind) in enumerate(layers):
+        rows += [(at, kind, i, [float(w) for w in row]) for i, row in enumerate([*weights, bias])]
+    spark.createDataFrame(rows, "layer int, activation string, unit int, weights array<double>").write.mode(
+        "overwrite").parquet(path)
+
+
+def _open_weights(path: str) -> list[Layer]:
+    """The layers of ``save_weights``, read where it is called, from any store that Arrow can reach."""
+    from pyarrow import dataset, fs
+
+    store, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (None, path)
+    rows = sorted(dataset.dataset(place, filesystem=store, format="parquet").to_table().to_pylist(),
+                  key=lambda r: (r["layer"], r["unit"]))
+    layers = []
+    for _, group in itertools.groupby(rows, key=lambda r: r["layer"]):
+        units = list(group)
+        layers.append(([u["weights"] for u in units[:-1]], units[-1]["weights"], units[0]["activation"]))
+    return layers
+
+
+def saved_scorer(path: str, width: int, batch_size: int = 1024):
+    """A function of a vector column (``width`` components) that gives the scores of the saved layers.
+
+    A worker opens the model once, from ``path`` in storage that all workers reach; the task itself carries the
+    path alone. Vectors must not be null.
+    """
+
+    def opened():
+        run = layered(_open_weights(path))
+        return lambda x: run(np.asarray(x, dtype=float))
+
+    return predict_batch_udf(opened, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[[width]])
