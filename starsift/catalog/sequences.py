@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from starsift.catalog.fixtures import view
 from starsift.catalog.registry import query
 from starsift.catalog.relational import sql_hash
+from starsift.catalog.texts import TOKENS_SQL, tokenized
 from starsift.functions import text as tx
 from starsift.functions.hashing import hash32
 from starsift.functions.vectors import argmax, dense, softmax
-from starsift.operators import models, sequence, subwords
-from starsift.session import stored
+from starsift.operators import models, numbering, sequence, subwords
+from starsift.session import scratch_path, stored
 
 DIMS = 64
 

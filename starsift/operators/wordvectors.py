@@ -52,7 +52,7 @@ def token_ids(df: DataFrame, vocabulary: DataFrame, *, key: str, tokens: str) ->
 
 
 def pair_counts(sequences: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``centre, context, n`` over all places up to ``window`` apart, in both directions."""
+    """``centre, context, n`` over all places up to ``window`` apart, in both directions; ids are below 2^31."""
 
     def pairs(batches):
         for batch in batches:
@@ -65,9 +65,9 @@ def pair_counts(sequences: DataFrame, window: int = WINDOW) -> DataFrame:
             for step in range(1, window + 1):
                 same = text[:-step] == text[step:]
                 a, b = ids[:-step][same], ids[step:][same]
-                found += [np.stack([a, b]), np.stack([b, a])]
-            rows, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
-            yield pd.DataFrame({"centre": rows[0], "context": rows[1], "n": n})
+                found += [a << 32 | b, b << 32 | a]
+            code, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pd.DataFrame({"centre": code >> 32, "context": code & 0xFFFFFFFF, "n": n})
 
     return (
         sequences.select("ids").mapInPandas(pairs, "centre long, context long, n long")
