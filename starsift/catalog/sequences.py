@@ -22,14 +22,12 @@ docs as (select doc_id, regexp_extract_all(strip_accents(lower(regexp_replace(te
            '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\p{Cf}]', '', 'g'))),
            '[\p{P}$+<=>^`|~]|\p{Han}|[^\s\p{Z}\p{P}$+<=>^`|~\p{Han}]+') as words from documents),
 tok as materialized (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from docs),
-freq as (select word, count(*) as n
-         from (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from documents) t
-         group by word order by n desc, word limit 500),
-ch as (select unnest(string_split('abcdefghijklmnopqrstuvwxyz0123456789', '')) as c),
+dw as materialized (select word, count(*) as n from tok where length(word) <= 100 group by word),
+freq as (select word from dw where n >= 20),
+ch as (select distinct unnest(string_split(word, '')) as c from dw),
 pieces as (select word as piece from freq union select c from ch union select '##' || c from ch
            union select '##' || word from freq where length(word) <= 4),
 vocab as materialized (select piece, cast(4 + row_number() over (order by piece) as integer) as id from pieces),
-dw as materialized (select distinct word from tok where length(word) <= 100),
 edges as materialized (select word, k, max(len) as len, arg_max(id, len) as id from
             (select word, k, len, case when k > 1 then '##' else '' end || substr(word, k, len) as piece
              from dw, unnest(range(1, length(word) + 1)) s(k),

@@ -24,9 +24,10 @@ def pad_to_longest(df: DataFrame, ids: str = "input_ids", fill: int = 0) -> Data
 def pad_per_batch(
     df: DataFrame, batch: str, ids: str = "input_ids", fill: int = 0, share: int = HOT_SHARE
 ) -> DataFrame:
-    """Pad every sequence to the longest one of its batch."""
+    """Pad every sequence to the longest one of its batch; rows without a batch are one of their own."""
     sized = with_group_stats(df, [batch], _width=F.max(F.size(ids)), share=share)
-    return sized.withColumn(ids, pad_to(ids, F.col("_width"), fill)).drop("_width")
+    loose = pad_to_longest(df.where(F.col(batch).isNull()), ids, fill)
+    return sized.withColumn(ids, pad_to(ids, F.col("_width"), fill)).drop("_width").unionByName(loose)
 
 
 def token_places(df: DataFrame, tokens: Column | str, *, key: str = "doc_id") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from starsift.functions.text import basic_words
 from starsift.operators.lookup import HOT_SHARE, lookup
+from starsift.operators.numbering import numbered
 from starsift.session import stored
 
 # --- fixed values: marker pieces and limits of uncased subword models ---
@@ -145,7 +146,6 @@ def wordpiece_encode(
     vocab: DataFrame,
     *,
     text: str = "text",
-    key: str = "doc_id",
     out: str = "input_ids",
     max_length: int | None = 128,
     max_broadcast: int = MAX_BROADCAST_PIECES,
@@ -154,17 +154,24 @@ def wordpiece_encode(
     """``df`` plus the ids of ``[CLS] pieces [SEP]``, cut to ``max_length`` ids.
 
     Words are split by built-in expressions. A vocabulary of checked size goes
-    to the tasks, and encoding needs no shuffle; a larger one is joined.
+    to the tasks, and encoding needs no shuffle; a larger one is joined, with the same
+    result for every row, also where keys repeat or are null. A piece that stands twice in
+    the vocabulary has its largest id.
     """
-    rows = df.withColumn("_words", basic_words(text))
+    words = basic_words(text)
+    if max_length is not None:  # a word has an id at least
+        words = F.slice(words, 1, max(0, max_length - 2))
+    rows = df.withColumn("_words", words)
     small = vocab.limit(max_broadcast + 1).select("piece", F.col("id").cast("int").alias("id"))
     pieces = small.collect()
     if len(pieces) <= max_broadcast:
-        table = {row["piece"]: row["id"] for row in pieces}
+        table = {row["piece"]: row["id"] for row in sorted(pieces, key=lambda row: row["id"])}
         coded = _encode_in_tasks(rows, table, "_words", out)
         first, last = F.lit(table[START]), F.lit(table[END])
     else:
-        coded = _encode_by_join(rows, vocab, key, "_words", out, share)
+        # Written once, so that a row keeps its number; keys may repeat or be null.
+        rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        coded = _encode_by_join(rows, vocab, "_row", "_words", out, share).drop("_row")
         first, last = (
             vocab.filter(F.col("piece") == p).select(F.col("id").cast("int")).scalar()
             for p in (START, END)
@@ -176,29 +183,21 @@ def wordpiece_encode(
 
 
 def frequency_vocabulary(
-    df: DataFrame, *, text: str = "text", n_words: int = 500, max_tail: int = 4
+    df: DataFrame, *, text: str = "text", min_count: int = 20, max_tail: int = 4
 ) -> DataFrame:
-    """A small vocabulary from a corpus: markers, single letters and digits in both
-    forms, the ``n_words`` commonest words, and the short ones also as continuations."""
-    words = df.select(
-        F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("piece")
-    )
-    top = (
-        words.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), "piece").limit(n_words).select("piece")
-    )
-    letters = df.sparkSession.createDataFrame(
-        [(c,) for c in "abcdefghijklmnopqrstuvwxyz0123456789"], "piece string"
-    )
-    tails = top.filter(F.length("piece") <= max_tail).union(letters)
-    tails = tails.select(F.concat(F.lit("##"), "piece").alias("piece"))
-    pieces = top.union(letters).union(tails).distinct()
-    numbered = pieces.agg(F.array_sort(F.collect_set("piece")).alias("p")).select(
-        F.posexplode("p").alias("id", "piece")
-    )
+    """A vocabulary from a corpus: markers, every character that stands in a word, alone and as a
+    continuation, all words that occur ``min_count`` times or more, and the short ones also as continuations.
+
+    Words are those that the encoder looks up, of any script; ids follow the pieces' order.
+    """
+    words = df.select(F.explode(basic_words(text)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    words = stored(words.where(F.length("piece") <= MAX_WORD_CHARS), "words")
+    common = words.where(F.col("n") >= min_count).select("piece")
+    characters = words.select(F.explode(F.array_distinct(F.split("piece", ""))).alias("piece")).distinct()
+    tails = common.where(F.length("piece") <= max_tail).union(characters)
+    pieces = common.union(characters).union(tails.select(F.concat(F.lit("##"), "piece").alias("piece"))).distinct()
+    ids = numbered(pieces, [F.col("piece")], "id")
     marks = df.sparkSession.createDataFrame(
         [(p, i) for i, p in enumerate(SPECIAL_PIECES)], "piece string, id int"
     )
-    return marks.union(
-        numbered.select("piece", (F.col("id") + len(SPECIAL_PIECES)).cast("int"))
-    )
+    return stored(marks.union(ids.select("piece", (F.col("id") + len(SPECIAL_PIECES)).cast("int"))), "pieces")

@@ -158,15 +158,15 @@ def train(
                 return vectors[["kind", "block", "id", "v", "s"]]
             pairs = pairs.sort_values(["centre", "context"], ignore_index=True)
             kinds = [vectors[vectors.kind == kind] for kind in (0, 1)]
-            x, y = (np.stack(k.v.to_list()).astype(np.float64) for k in kinds)
-            sums = tuple(np.concatenate(k.s.to_list()).astype(np.float64) for k in kinds)
+            x, y = (np.stack(k.v.to_list()).astype(np.float32) for k in kinds)
+            sums = tuple(np.concatenate(k.s.to_list()).astype(np.float32) for k in kinds)
             places = [np.searchsorted(k.id.to_numpy(), pairs[c].to_numpy()) for k, c in zip(kinds, ("centre", "context"))]
             draw = np.random.default_rng([seed, epoch, turn, int(pairs.a.iloc[0])])
-            _train(x, y, sums, (*places, pairs.weight.to_numpy(np.float64)), np.cumsum(kinds[1].noise.to_numpy()), draw, rate)
+            _train(x, y, sums, (*places, pairs.weight.to_numpy(np.float32)), np.cumsum(kinds[1].noise.to_numpy()), draw, rate)
             return pd.DataFrame({
                 "kind": vectors.kind, "block": vectors.block, "id": vectors.id,
-                "v": [*x.astype(np.float32), *y.astype(np.float32)],
-                "s": [s.astype(np.float32).reshape(1) for s in np.concatenate(sums)],
+                "v": [*x, *y],
+                "s": [s.reshape(1) for s in np.concatenate(sums)],
             })
 
         return task

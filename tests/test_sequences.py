@@ -47,14 +47,29 @@ def test_encoders_agree(spark, vocab, max_length):
     assert in_tasks[5] == [2, 1, 3]
 
 
+def test_repeated_keys_and_pieces(spark, vocab):
+    df = spark.createDataFrame([(1, "the a"), (1, "b"), (None, "the b"), (None, None)], "doc_id long, text string")
+    twice = vocab.union(spark.createDataFrame([("the", 77)], "piece string, id int"))
+    ways = [sorted(r.input_ids for r in subwords.wordpiece_encode(df, twice, **how).collect())
+            for how in ({}, {"max_broadcast": 0}, {"max_broadcast": 0, "share": 1})]
+    assert ways[0] == ways[1] == ways[2] == [[2, 3], [2, 11, 3], [2, 77, 10, 3], [2, 77, 11, 3]]
+
+
 def test_frequency_vocabulary(spark):
-    df = spark.createDataFrame([("the cat the dog",), ("the end cat",)], "text string")
-    rows = subwords.frequency_vocabulary(df, n_words=2, max_tail=3).collect()
+    df = spark.createDataFrame([("the cat the dog",), ("the end cat été Ж中",), (None,)], "text string")
+    rows = subwords.frequency_vocabulary(df, min_count=2, max_tail=3).collect()
     pieces = {r.piece for r in rows}
-    assert {"the", "cat", "##the", "##cat", "a", "##9", "[CLS]"} <= pieces and "dog" not in pieces
+    assert {"the", "cat", "##the", "##cat", "a", "ж", "##ж", "中", "[CLS]"} <= pieces
+    assert not {"dog", "été", "9"} & pieces
     assert sorted(r.id for r in rows) == list(range(len(rows)))
 
 
+def test_rows_without_a_batch(spark):
+    df = spark.createDataFrame([(1, [1]), (1, [1, 2, 3]), (None, [5]), (None, [6, 7])], "b long, input_ids array<int>")
+    rows = sorted(r.input_ids for r in sequence.pad_per_batch(df, "b").collect())
+    assert rows == [[1, 0, 0], [1, 2, 3], [5, 0], [6, 7]]
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(1)
