@@ -433,3 +433,23 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
             F.coalesce(F.col("doc_id") == group, F.lit(False)).alias("kept"),
         )
     )
+
+
+def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of every group of near-duplicates stays.
+
+    The decision is on texts, whatever ids they stand under: ids may repeat or be null. Of a group the row of
+    the smallest doc_id stays, nulls last, ties in an order fixed by the text. Rows without
+    words (null, empty) are in no group and all stay. Other columns are kept as they are.
+    """
+    row = next(name for at in range(len(docs.columns) + 1) if (name := f"_row{at}") not in docs.columns)
+    # Written once, so that a row keeps its number.
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words=words, percent=percent)
+    facts = rows.select(F.col(row).alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    placed = groups.select(F.col("doc_id").alias("row"), "n_shingles", "component_id").join(facts, "row")
+    placed = stored(placed, "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")
+    leads = placed.where("n_shingles > 0").groupBy("component_id").agg(F.min(order)["row"].alias(row)).select(row)
+    wordless = placed.where("n_shingles = 0").select(F.col("row").alias(row))
+    return rows.join(leads.union(wordless), row, "left_semi").select(*docs.columns)
