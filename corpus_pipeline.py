@@ -20,33 +20,34 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below one half."""
+    """Documents that the classifier scores below one half; null and empty texts are scored as texts without words."""
     model = toxicity.fit(docs, _labels(spark, sf_dir))
     return toxicity.score(docs.select(*COLUMNS), model, out="_toxic").where("_toxic < 0.5").select(*COLUMNS)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learnt ones reject."""
+    """Documents that neither the base rules nor the learnt ones reject; null and empty texts fail the base rules."""
     rules = quality.fit(docs, _labels(spark, sf_dir))
     return quality.judge(docs.select(*COLUMNS), rules).where("kept").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group (five-word shingles, similarity of 0.8 or more); repeated rows once."""
-    copies = forest.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
-    left = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
-    return left.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """One document of each group (five-word shingles, similarity of 0.8 or more); repeated rows once.
+
+    Texts decide, not ids: ids may repeat or be null. Documents without words stay.
+    """
+    return forest.one_of_each(docs.select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in the text replaced by a mark."""
+    """All documents, with every secret in the text replaced by a mark; null texts stay null."""
     ratios = secrets.train(secrets.labelled_counts(docs))
     clean = secrets.redact(docs.select(*COLUMNS), ratios)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their bins."""
+    """Pieces of the documents with their bins; null and empty texts have no words, see ``packing.pack``."""
     sized = docs.select("doc_id", "source", packing.word_count().alias("n_words"), packing.text_cluster().alias("cluster"))
     return packing.pack(sized, size="n_words", cluster="cluster")
 
