@@ -1,14 +1,17 @@
 """License scan by a positional index of rare words, in DataFrame functions only.
 
 Templates are short notices. Their words are posted with the positions at which
-they stand; of each template, the words of highest IDF over all documents are
-looked up. A place in a text minus a place in a template is a shift: words that
-agree on a template's shift stand as in the template. A template whose rare
-words agree often enough, and whose mandatory phrases stand in the text, labels it.
+they stand. Of the licence words that a file holds, those of highest IDF over all
+documents are looked up in a template's postings. A place in the file minus a place in the
+template is a shift: words that agree on a shift stand to each other as in the
+template. A template labels the file if enough of the file's rare words agree and its
+mandatory phrases stand in the text. A shortened notice holds fewer of the
+words, so fewer are looked up and have to agree.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -35,7 +38,7 @@ TEMPLATES = {
     "apache-2": (
         "licensed under the apache license version 2 0 the license you may not use this file except"
         " in compliance with the license you may obtain a copy of the license at",
-        ["apache license version 2"],
+        ["apache license"],
     ),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted"
@@ -69,8 +72,8 @@ TEMPLATES = {
 }
 # --- end of fixed values ---
 
-#: Rare words of a template that are looked up, and the share of them that must agree on a shift.
-RARE, AGREE = 8, 0.6
+#: Rare words of a file that are looked up in a template, the least number and share of them that must agree on a shift.
+RARE, LEAST, AGREE = 8, 3, 0.5
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -101,13 +104,35 @@ def _places(s: Column, phrase: str) -> Column:
     return F.when(F.contains(s, F.lit(_apart(phrase))), found).otherwise(none)
 
 
-def postings(spark, templates: dict) -> DataFrame:
-    """(label, word, place, bit) of each template's words; a word's first place stands for it."""
-    rows = []
-    for label, (notice, _) in templates.items():
-        words = notice.split()
-        rows += [(label, word, place) for place, word in enumerate(words) if words.index(word) == place]
-    return spark.createDataFrame(rows, "label string, word string, place long")
+def _agreeing(shifts: Column) -> Column:
+    """Most words that agree on a shift, of a sorted array with each word's distinct shifts."""
+
+    def reached(k: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(shifts) - k + 1)
+        same = F.exists(starts, lambda i: F.element_at(shifts, i) == F.element_at(shifts, (i + k - 1).cast("int")))
+        return F.when(F.size(shifts) < k, 0).when(same, k).otherwise(0)
+
+    return F.array_max(F.transform(F.sequence(F.lit(1), F.lit(RARE)), reached))
+
+
+def _looked_up(spots: Column, known: Column, notice: str, idf: dict[str, float]) -> Column:
+    """(of, agree): the file's rarest words of a template, and how many agree on a shift."""
+    words = notice.split()
+    places = {w: [at for at, x in enumerate(words) if x == w] for w in words}
+    rarest_first = sorted(places, key=lambda w: (-idf[w], w))
+    rare = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in rarest_first]), known), 1, RARE)
+    posted = F.create_map(*[x for w, at in places.items() for x in (F.lit(w), F.array(*[F.lit(i) for i in at]))])
+
+    def of_word(word: Column) -> Column:
+        own = F.filter(spots, lambda spot: spot["word"] == word)
+        return F.array_distinct(F.flatten(F.transform(
+            own, lambda spot: F.transform(F.element_at(posted, word), lambda place: spot["at"] - place)
+        )))
+
+    shifts = F.array_sort(F.flatten(F.transform(rare, of_word)))
+    # Bound as a lambda's argument, the shifts are found once.
+    agree = F.element_at(F.transform(F.array(shifts), _agreeing), 1)
+    return F.struct(F.size(rare).alias("of"), agree.alias("agree"))
 
 
 def scan(docs: DataFrame, phrases: dict | None = None, templates: dict | None = None) -> DataFrame:
@@ -116,20 +141,37 @@ def scan(docs: DataFrame, phrases: dict | None = None, templates: dict | None =
     Returns a row per row: ``doc_id, n_words, n_base`` (places of all base
     phrases)``, first_word, last_word`` (their smallest and largest start, else
     null)``, base_labels, labels`` (sorted, comma-joined, else empty)``, score``: 1 with a
-    base phrase, else the largest share of a matched template's rare words that
-    agree, else 0. Null and empty texts have no words. The tables of phrases and
-    templates bound what is broadcast.
+    base phrase, else the largest share of looked-up words that agree in a template that
+    labels the text, else 0. Null and empty texts have no words. Repeated rows are labelled each for
+    itself, very long texts whole. Nothing is shuffled: the words of a text are found once, and only
+    texts that hold a template's mandatory phrases keep the places of licence words. The tables of
+    phrases and templates bound what reaches the driver and the tasks.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
-    spark = docs.sparkSession
-    posted = postings(spark, templates)
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for n, _ in templates.values() for w in n.split()})])
-    base = docs.select("doc_id", "text", spaced(F.col("text")).alias("s"))
+    vocabulary = sorted({w for notice, _ in templates.values() for w in notice.split()})
+    listed = F.array(*[F.lit(w) for w in vocabulary])
+    base = docs.select("doc_id", spaced(F.col("text")).alias("s"))
+    holds = {
+        label: reduce(lambda a, b: a & b, [F.contains("s", F.lit(_apart(p))) for p in must], F.lit(True))
+        for label, (_, must) in templates.items()
+    }
+    likely = F.filter(F.array(*[F.when(cond, F.lit(label)) for label, cond in holds.items()]), lambda x: x.isNotNull())
+
+    def facts(words: Column) -> Column:
+        spots = F.filter(
+            F.transform(words, lambda word, at: F.struct(at.alias("at"), word.alias("word"))),
+            lambda spot: F.array_contains(listed, spot["word"]),
+        )
+        none = F.array().cast("array<struct<at:int,word:string>>")
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"), F.array_intersect(words, listed).alias("known"),
+            F.when(F.size(likely) > 0, spots).otherwise(none).alias("spots"),
+        )
+
+    words = F.filter(F.split(F.trim("s"), " +"), lambda w: w != "")
     found = base.select(
-        "doc_id", F.xxhash64("text").alias("text_key"), _count(F.col("s")).alias("n_words"),
+        "doc_id", F.element_at(F.transform(F.array(words), facts), 1).alias("f"), likely.alias("likely"),
         *[_places(F.col("s"), phrase).alias(f"p{at}") for at, phrase in enumerate(phrases.values())],
-        # words of templates in the text, for their document frequency and to find texts worth a look
-        F.array_intersect(F.split(F.trim(F.col("s")), " +"), vocabulary).alias("known"),
     )
     places = [F.col(f"p{at}") for at in range(len(phrases))]
     labels = F.array_sort(F.array_distinct(F.filter(
@@ -137,74 +179,34 @@ def scan(docs: DataFrame, phrases: dict | None = None, templates: dict | None =
     )))
     found = stored(
         found.select(
-            "doc_id", "text_key", "n_words", sum((p["n"] for p in places[1:]), places[0]["n"]).alias("n_base"),
+            "doc_id", "f.*", "likely", sum((p["n"] for p in places[1:]), places[0]["n"]).alias("n_base"),
             F.least(*[p["first"] for p in places]).alias("first_word"),
-            F.greatest(*[p["last"] for p in places]).alias("last_word"), labels.alias("base"), "known",
+            F.greatest(*[p["last"] for p in places]).alias("last_word"), labels.alias("base"),
         ),
         "licences",
     )
-    # IDF over all documents; each template keeps its rarest words.
+    # IDF over all documents, of the templates' words alone.
     n_docs = found.count()
-    df = found.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    rarity = posted.join(df, "word", "left").withColumn("idf", F.log((F.lit(n_docs) + 1) / (F.coalesce("df", F.lit(0)) + 1)))
-    rare = rarity.groupBy("label").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("idf", "word", "place")), asc=False), 1, RARE).alias("rare")
-    )
-    rare = rare.select("label", F.size("rare").alias("of"), F.posexplode("rare").alias("bit", "r")).select(
-        "label", "of", "bit", F.col("r.word").alias("word"), F.col("r.place").alias("place")
-    )
-    table = [r for r in rare.collect()]  # at most RARE rows per template
-    rare = spark.createDataFrame(table, rare.schema) if table else rare
-    # A text is looked at closer if it holds enough rare words of one template at all.
-    by_label: dict[str, list] = {}
-    for r in table:
-        by_label.setdefault(r.label, []).append(r)
-    need = {label: max(2, -(-int(AGREE * 10 * len(rs)) // 10)) for label, rs in by_label.items()}
-
-    def likely(known: Column) -> Column:
-        return reduce(
-            lambda a, b: a | b,
-            [
-                F.size(F.array_intersect(known, F.array(*[F.lit(r.word) for r in rs]))) >= need[label]
-                for label, rs in by_label.items()
-            ],
-            F.lit(False),
-        )
+    df = {r.word: r.n for r in found.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
 
-    # Bound as a lambda's argument, the words are found once a text and not once a template.
-    words = F.array_intersect(F.split(F.trim(F.col("s")), " +"), vocabulary)
-    texts = (
-        base.where(F.exists(F.array(words), likely))
-        .select(F.xxhash64("text").alias("text_key"), "s").dropDuplicates(["text_key"])
-    )
-    hits = (
-        texts
-        .select("text_key", F.posexplode(F.split(F.trim("s"), " +")).alias("at", "word"))
-        .join(F.broadcast(rare), "word")
-        .groupBy("text_key", "label", "of", (F.col("at") - F.col("place")).alias("shift"))
-        .agg(F.expr("bit_count(bit_or(shiftleft(1L, bit)))").alias("agree"))
-        .where(F.col("agree") >= F.greatest(F.lit(2), F.ceil(F.col("of") * AGREE)))
-        .groupBy("text_key", "label").agg(F.max(F.col("agree") / F.col("of")).alias("share"))
-    )
-    mandatory = reduce(
-        lambda a, b: a | b,
-        [
-            (F.col("label") == label)
-            & reduce(lambda a, b: a & b, [F.contains("s", F.lit(_apart(p))) for p in must], F.lit(True))
-            for label, (_, must) in templates.items()
-        ],
-    )
-    verified = (
-        hits.join(texts, "text_key").where(mandatory)
-        .groupBy("text_key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
-    )
-    none = F.array().cast("array<string>")
+    def matched(label: str, notice: str) -> Column:
+        def judged(met: Column) -> Column:
+            enough = (met["agree"] >= LEAST) & (met["agree"] >= met["of"] * AGREE)
+            return F.when(enough, F.struct(F.lit(label).alias("label"), (met["agree"] / met["of"]).alias("share")))
+
+        # Looked up once for a text that holds the template's mandatory phrases.
+        met = F.transform(F.array(_looked_up(F.col("spots"), F.col("known"), notice, idf)), judged)
+        return F.when(F.array_contains("likely", F.lit(label)), F.element_at(met, 1))
+
+    more = F.filter(F.array(*[matched(label, notice) for label, (notice, _) in templates.items()]), lambda m: m.isNotNull())
+    none = F.array().cast("array<struct<label:string,share:double>>")
     return (
-        found.join(verified, "text_key", "left")
+        found.withColumn("more", F.when(F.size("likely") > 0, more).otherwise(none))
         .select(
             "doc_id", "n_words", "n_base", "first_word", "last_word",
             F.concat_ws(",", "base").alias("base_labels"),
-            F.concat_ws(",", F.array_sort(F.array_union("base", F.coalesce("more", none)))).alias("labels"),
-            F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+            F.concat_ws(",", F.array_sort(F.array_union("base", F.col("more.label")))).alias("labels"),
+            F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("more.share"), F.lit(0.0))).alias("score"),
         )
     )
