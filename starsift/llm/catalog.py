@@ -71,7 +71,7 @@ def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return secrets.digests(docs, secrets.train(secrets.labelled_counts(docs)))
+    return secrets.digests(docs, secrets.fit(docs))
 
 
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

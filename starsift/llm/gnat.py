@@ -72,6 +72,18 @@ class Tree:
     nodes: list[Node] = field(default_factory=list)
     leaves: int = 0
 
+    def parts(self) -> tuple:
+        """Plain arrays, which a broadcast can carry to tasks that cannot import this module."""
+        return self.width, self.leaves, [dict(vars(n)) for n in self.nodes]
+
+    @classmethod
+    def of(cls, parts: tuple) -> Tree:
+        tree = cls(parts[0], leaves=parts[1])
+        for held in parts[2]:
+            tree.nodes.append(node := Node(held["points"], held["children"]))
+            vars(node).update(held)
+        return tree
+
     @classmethod
     def grow(cls, sample: np.ndarray, degree: int = DEGREE, leaf_rows: int = LEAF_ROWS, levels: int = LEVELS) -> Tree:
         """Split points are far from each other among a few rows drawn from the node's sample."""
@@ -172,20 +184,21 @@ def index(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, **shape) -> tuple[Tre
     low = rows.select(F.xxhash64("id", "v").alias("h"), "v").orderBy("h", "v").limit(sample_rows).toPandas()
     width = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
     tree = Tree.grow(_matrix(low.v, width), **shape)
-    shared = sc.broadcast(tree)
+    shared = sc.broadcast(tree.parts())
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = Tree.of(shared.value)
         for batch in batches:
-            yield batch.assign(leaf=shared.value.leaf_of(_matrix(batch.v, width)))
+            yield batch.assign(leaf=tree.leaf_of(_matrix(batch.v, width)))
 
     placed = stored(rows.mapInPandas(place, "uid long, id long, label long, v array<double>, leaf long"), "leaves")
 
     def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[tuple[int, int, int], list[float]] = {}
+        tree, found = Tree.of(shared.value), {}
         for batch in batches:
             x = _matrix(batch.v, width)
             square = (x * x).sum(axis=1)
-            for node, under, apart, near in shared.value.walk(x):
+            for node, under, apart, near in tree.walk(x):
                 for j in np.unique(near):
                     mine = near == j
                     own = square[under[mine]]
@@ -212,7 +225,7 @@ def index(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, **shape) -> tuple[Tre
 
 def _visits(anchors: DataFrame, tree: Tree, blocks: dict[int, int], parts: int, own_leaf: bool = False) -> DataFrame:
     """Each anchor once for every block of every leaf that its windows (``lows``, ``highs``) may meet."""
-    shared = anchors.sparkSession.sparkContext.broadcast(tree)
+    shared = anchors.sparkSession.sparkContext.broadcast(tree.parts())
     names = ["uid", "label", "v", "lows", "highs"]
 
     def bounds(column: pd.Series, fill: float, ends: int) -> np.ndarray:
@@ -223,14 +236,15 @@ def _visits(anchors: DataFrame, tree: Tree, blocks: dict[int, int], parts: int,
         return np.where(out == float(ends), np.sign(ends) * np.inf, out)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = Tree.of(shared.value)
         for batch in batches:
-            x = _matrix(batch.v, shared.value.width)
+            x = _matrix(batch.v, tree.width)
             if own_leaf:
-                leaf = shared.value.leaf_of(x)
+                leaf = tree.leaf_of(x)
                 met = [(at, np.flatnonzero(leaf == at)) for at in np.unique(leaf)]
             else:
                 # Windows that are not there are empty: no product is both as large and as small.
-                met = shared.value.left(x, bounds(batch.lows, np.inf, _LOW), bounds(batch.highs, -np.inf, _HIGH))
+                met = tree.left(x, bounds(batch.lows, np.inf, _LOW), bounds(batch.highs, -np.inf, _HIGH))
             for leaf, rows in met:
                 for block in range(blocks.get(leaf, 0)):
                     yield batch.iloc[rows][names].assign(
