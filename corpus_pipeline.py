@@ -41,8 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in the text replaced by a mark; null texts stay null."""
-    ratios = secrets.train(secrets.labelled_counts(docs))
-    clean = secrets.redact(docs.select(*COLUMNS), ratios)
+    clean = secrets.redact(docs.select(*COLUMNS), secrets.fit(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
