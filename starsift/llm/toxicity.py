@@ -20,8 +20,12 @@ from starsift.llm.words import GOLDEN, WordHashes, mix, utf8
 BITS = 20
 #: Labelled rows the fit may use.
 MAX_ROWS = 12_000
-#: FTRL-proximal: rate, smoothing of the rate, L1 and L2 strength, passes, weight of positive rows.
-RATE, SMOOTH, L1, L2, PASSES, POSITIVE = 0.3, 1.0, 2.0, 0.1, 4, 2.0
+#: FTRL-proximal: rate, smoothing of the rate, L2 strength, passes, weight of positive rows.
+RATE, SMOOTH, L2, PASSES, POSITIVE = 2.0, 1.0, 0.1, 6, 4.0
+#: L1 strengths to choose from, on one training row in so many that is kept back for it.
+STRENGTHS, KEPT_BACK = (4.0, 12.0, 30.0), 10
+#: Training rows in which a feature has to occur.
+LEAST_ROWS = 5
 
 # ASCII letters and digits and all bytes of other characters are kept, A-Z folded.
 _FOLD = bytes(
@@ -41,24 +45,49 @@ def features(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, l1: float) -> tuple[np.ndarray, float]:
     """Weights (mostly zero) and intercept after ``PASSES`` passes over the rows in order."""
     size = 1 << BITS
-    z, n, w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    z, n = np.zeros(size + 1), np.zeros(size + 1)
+
+    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
+        rate = (SMOOTH + np.sqrt(ni)) / RATE + L2
+        w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / rate)
+        w[-1] = -zi[-1] / rate[-1]  # the last place is the intercept, without L1
+        return w
+
     for _ in range(PASSES):
         for places, label in zip(rows, labels):
-            at = np.append(places, size)  # the last place is the intercept
+            at = np.append(places, size)
             zi, ni = z[at], n[at]
-            wi = np.where(
-                np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((SMOOTH + np.sqrt(ni)) / RATE + L2)
-            )
-            wi[-1] = -zi[-1] / ((SMOOTH + np.sqrt(ni[-1])) / RATE + L2)  # no L1 on the intercept
+            wi = weights(zi, ni)
             p = 1.0 / (1.0 + np.exp(-np.clip(wi.sum(), -35, 35)))
             g = (p - label) * (POSITIVE if label else 1.0)
             z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / RATE * wi
             n[at] = ni + g * g
-    w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((SMOOTH + np.sqrt(n)) / RATE + L2))
-    return w[:size], float(-z[size] / ((SMOOTH + np.sqrt(n[size])) / RATE + L2))
+    w = weights(z, n)
+    return w[:size], float(w[size])
+
+
+def _loss(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, base: float) -> float:
+    """Mean logistic loss."""
+    sums = np.array([weights[r].sum() for r in rows]) + base
+    return float(np.logaddexp(0.0, np.where(labels > 0, -sums, sums)).mean())
+
+
+def ftrl_chosen(rows: list[np.ndarray], labels: np.ndarray, kept_back: np.ndarray) -> tuple[np.ndarray, float]:
+    """``ftrl`` on all rows, with the L1 strength of least loss on the rows kept back from a first fit.
+
+    Features of fewer than ``LEAST_ROWS`` rows are left out. Without rows of both kinds the strongest is taken.
+    """
+    often = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= LEAST_ROWS
+    rows = [r[often[r]] for r in rows]
+    best = max(STRENGTHS)
+    inside, aside = np.flatnonzero(~kept_back), np.flatnonzero(kept_back)
+    if len(inside) and len(aside) and 0 < labels[aside].sum() < len(aside):
+        some, others = [rows[i] for i in inside], [rows[i] for i in aside]
+        best = min(STRENGTHS, key=lambda l1: _loss(others, labels[aside], *ftrl(some, labels[inside], l1)))
+    return ftrl(rows, labels, best)
 
 
 def held_out(doc_id: str, parts: int = 5, part: int = 0):
@@ -91,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> pd.Data
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["h", "doc_id"])
         rows = [np.frombuffer(p, dtype=np.int32) for p in group.places]
-        weights, base = ftrl(rows, (group.toxic.to_numpy() > 0).astype(float))
+        aside = group.h.to_numpy() % KEPT_BACK == 0
+        weights, base = ftrl_chosen(rows, (group.toxic.to_numpy() > 0).astype(float), aside)
         used = np.flatnonzero(weights)
         return pd.DataFrame({"place": np.append(used, -1), "weight": np.append(weights[used], base)})
 
@@ -101,11 +131,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> pd.Data
 
 
 def score(docs: DataFrame, model: pd.DataFrame, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability (0 to 1) that the whole text is toxic.
+    """``docs`` with the probability (0 to 1) that the whole text is toxic. A column ``out`` is an error.
 
     Null and empty texts have no features and get the model's base rate. The model
     has at most ``2 ** BITS`` weights, which bounds what is sent to the tasks.
     """
+    if out in docs.columns:
+        raise ValueError(f"column {out} exists")
     base = float(model.weight[model.place == -1].iloc[0])
     used = model[model.place >= 0]
     shared = docs.sparkSession.sparkContext.broadcast(

@@ -158,7 +158,7 @@ def test_ftrl_learns_sparse_weights():
     hashes = WordHashes()
     texts = [" ".join(rng.choice([f"w{i}" for i in range(300)], 60)) + (" idiot." if i % 5 == 0 else "") for i in range(600)]
     rows = [toxicity.features(t, hashes) for t in texts]
-    weights, base = toxicity.ftrl(rows, np.array([i % 5 == 0 for i in range(600)], float))
+    weights, base = toxicity.ftrl(rows, np.array([i % 5 == 0 for i in range(600)], float), 4.0)
     score = [weights[toxicity.features(t, hashes)].sum() + base for t in ("you idiot", "w1 w2 w3", "")]
     assert score[0] > 0 > max(score[1:]) and np.count_nonzero(weights) < 3000
 
