@@ -29,10 +29,10 @@ from starsift.session import scratch_path, stored
 VECTOR_SIZE, WINDOW, MIN_COUNT = 100, 5, 5
 NEGATIVES, NOISE_POWER = 5, 0.75
 WEIGHT_FULL, WEIGHT_POWER = 20.0, 0.75
-RATE, EPOCHS = 0.1, 3
+RATE, EPOCHS = 0.1, 1
 # --- end of fixed values ---
 #: Words in a block: a task has at most the square of it as distinct pairs.
-BLOCK_WORDS = 4096
+BLOCK_WORDS = 8192
 #: Pairs trained at a time.
 BATCH = 2048
 _VECTORS = "kind int, block int, id long, v array<float>, s array<float>"

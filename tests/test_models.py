@@ -99,7 +99,7 @@ def test_features_are_fitted_on_training_rows_only(labelled):
 
 def test_forest_on_word_vectors(labelled):
     df, _ = labelled
-    stages = models.word2vec_stages(size=8, min_count=1)
+    stages = models.word2vec_stages(size=8, min_count=1, epochs=3)
     tuned = models.cross_validate(
         df, stages, models.forest(numTrees=5), {"maxDepth": [2, 4]}, folds=3
     )

@@ -45,7 +45,7 @@ def test_pairs_are_those_of_a_window(spark):
     assert {(r.centre, r.context): r.n for r in got} == want
 
 
-@pytest.mark.parametrize("block_words", [4096, 9])
+@pytest.mark.parametrize("block_words", [8192, 9])
 def test_words_of_a_topic_are_near(spark, block_words):
     draw = random.Random(3)
     topics = [[f"{t}{i}" for i in range(12)] for t in "xyz"]
