@@ -3,16 +3,17 @@
 Every text becomes a set of word shingles and a signature of ``VALUES`` minimum
 hashes. A tree is one order of those values; texts sorted in that order stand
 next to the texts with the longest common prefix, so each is compared with its
-``NEIGHBOURS`` successors. How deep two neighbours agree follows from how
-crowded their region of the order is: a few values in a sparse one, the whole
-key in a crowded one. A crowded region's most typical member is also compared
-with all of it, which ties copies of one original together. A second pass over
-the orders reaches further, between texts that are still in different groups.
-These two passes only save work: a third one compares all texts of a region that
-are still in different groups, and leaves out a pair only by a bound that no linked
-pair can break. The orders are sorted by range and the third pass deals blocks of
-a region, so a region of any size is spread over tasks. Candidates are confirmed
-on the full shingle sets.
+``NEIGHBOURS`` successors in ``SORTED`` of the trees. How deep two neighbours agree
+follows from how crowded their region of the order is: a few values in a sparse one,
+the whole key in a crowded one. A crowded region's most typical member is also compared
+with all of it, which ties copies of one original together. The likeliest pairs are
+confirmed on the full shingle sets and give first groups. All this only saves work:
+afterwards all texts that share a region in any of the ``TREES`` orders and are in
+different groups are compared by their parity maps, a bound that no linked pair can
+break and that holds for sets of any size. Of the pairs within the bound, first the
+closest of each text and group are confirmed, then, with the groups that this
+joined, those that still stand between groups. A region is dealt in blocks, so a
+region of any size is spread over tasks, and dense groups give few rows, not all their pairs.
 """
 
 from __future__ import annotations
@@ -32,25 +33,23 @@ from starsift.session import stored
 
 #: Minimum hashes in a signature (16 bits are kept of each).
 VALUES = 128
-#: Sorted orders of the signature.
+#: Orders of the signature.
 TREES = 40
+#: Trees in which neighbours are compared before whole regions are; two texts of 80 % share a region of one of them in 98 %.
+SORTED = 8
 #: Values two texts must share at the start of an order to be in one region.
 DEPTH = 4
 #: Further values by which a region is sorted.
 TAIL = 12
-#: Of the further values, how many candidates must share wherever they stand, in each pass.
-AGREE, AGREE_FURTHER = 5, 7
+#: Of the further values, how many neighbours must share wherever they stand.
+AGREE = 5
 #: Successors in an order that a text is compared with.
 NEIGHBOURS = 4
-#: Successors it is compared with in the second pass, if they are in other groups.
-REACH = 64
-#: In the second pass, how many values of the whole signatures must agree: three deviations below 80 %.
-LEAST_AGREED = 89
-#: In the first, how many values may differ in their last two bits: 3.5 deviations above 80 %.
+#: How many values of neighbours may differ in their last two bits: 3.5 deviations above 80 %.
 MOST_DIFFERENT = 34
-#: Bits of a set's parity map, which bounds from below how many shingles two sets do not share.
-PARITY = 1024
-#: About how many rows of a region one block of the third pass has.
+#: Bits of a set's parity map: least and most; between them at least four a shingle.
+PARITY, WIDEST = 1 << 10, 1 << 16
+#: About how many rows of a region one block has.
 BLOCK = 1024
 #: Bits of the filter that finds the documents whose sets are needed.
 FILTER_BITS = 1 << 26
@@ -75,12 +74,22 @@ def _signature(shingles: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np
 
 
 def _parity(shingles: np.ndarray) -> bytes:
-    """For each of ``PARITY`` places whether an odd number of shingles falls there.
+    """For each place of a map whether an odd number of shingles falls there.
 
-    Shared shingles cancel out, so two maps differ in at most as many places as the sets in shingles.
+    Shared shingles cancel out, so two maps differ in at most as many places as the sets in
+    shingles. Widths are powers of two: halves laid over each other give the map of half the width.
     """
-    places = (shingles % np.uint64(PARITY)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+    width = min(max(PARITY, 1 << (4 * len(shingles) - 1).bit_length()), WIDEST)
+    places = (shingles & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def _narrowed(maps: np.ndarray, words: int) -> np.ndarray:
+    """Parity maps (rows of 64-bit words) at a width of ``words`` words."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -117,19 +126,18 @@ def _region(signs: np.ndarray, tree: int, order: np.ndarray) -> np.ndarray:
     return region.view(np.int64)
 
 
-def _trees(classes: DataFrame, whole: bool) -> DataFrame:
-    """One row per text class and tree: its region, the values that sort it, size and id.
+def _trees(classes: DataFrame) -> DataFrame:
+    """One row per text class and sorted tree: its region, the values that sort it, size and id.
 
-    ``marks`` holds one byte of every value of the signature if ``whole``, else two bits.
+    ``marks`` holds two bits of every value of the signature.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        orders = _orders()
+        orders = _orders()[:SORTED]
         for batch in batches:
             signs = np.frombuffer(b"".join(batch.sig), dtype=">u2").reshape(-1, VALUES)
-            low = (signs & (0xFF if whole else 3)).astype(np.uint8)
-            if not whole:
-                low = np.bitwise_or.reduce(low.reshape(-1, VALUES // 4, 4) << np.array([0, 2, 4, 6], dtype=np.uint8), axis=2)
+            low = (signs & 3).astype(np.uint8).reshape(-1, VALUES // 4, 4)
+            low = np.bitwise_or.reduce(low << np.array([0, 2, 4, 6], dtype=np.uint8), axis=2)
             marks = [row.tobytes() for row in low]
             for tree, order in enumerate(orders):
                 tail = np.ascontiguousarray(signs[:, order[DEPTH:]]).tobytes()
@@ -140,34 +148,31 @@ def _trees(classes: DataFrame, whole: bool) -> DataFrame:
                     "suffix": [tail[i : i + width] for i in range(0, len(tail), width)],
                     "id": batch.id.to_numpy(),
                     "n": batch.n.to_numpy(),
-                    "root": batch.root.to_numpy(),
                 })
 
-    schema = "marks binary, region long, suffix binary, id long, n long, root long"
-    return classes.select("id", "n", "sig", "root").mapInPandas(rows, schema)
+    schema = "marks binary, region long, suffix binary, id long, n long"
+    return classes.select("id", "n", "sig").mapInPandas(rows, schema)
 
 
-def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int, agree: int) -> np.ndarray:
+def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     sizes = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-    return sizes & ((x == y).sum(axis=1) >= agree)
+    return sizes & ((x == y).sum(axis=1) >= AGREE)
 
 
-def _alike(x: np.ndarray, y: np.ndarray, whole: bool) -> np.ndarray:
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether the marks of two texts (see ``_trees``) allow for linked sets."""
-    if whole:
-        return (x == y).sum(axis=1) >= LEAST_AGREED
     apart = x ^ y
     return np.bitwise_count((apart | (apart >> 1)) & 0x55).sum(axis=1) <= MOST_DIFFERENT
 
 
-def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool) -> DataFrame:
-    """Candidate pairs of different roots from the sorted orders.
+def _pairs(trees: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs from the sorted orders.
 
-    Each row with its next ``reach`` rows; in the ``first`` pass also the members of a
-    crowded region with the one that shares most values with the others. Only pairs
-    whose marks agree enough are given. Counted are the meetings of
-    a pair and those in which either was the typical one; ``ra`` and ``rb`` are the roots.
+    Each row with its next ``NEIGHBOURS`` rows, and the members of a crowded region with
+    the one that shares most values with the others. Only pairs whose marks agree enough
+    are given. Counted are the meetings of a pair and those in which either was the typical one.
     """
+    reach = NEIGHBOURS
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
@@ -175,23 +180,23 @@ def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool)
             if kept is not None:
                 batch = pd.concat([kept, batch], ignore_index=True)
             kept = batch.iloc[-reach:]
-            region, ids, n, root = (batch[c].to_numpy() for c in ("region", "id", "n", "root"))
+            region, ids, n = (batch[c].to_numpy() for c in ("region", "id", "n"))
             tail = np.frombuffer(b"".join(batch.suffix), dtype=">u2").reshape(-1, TAIL)
-            marks = np.frombuffer(b"".join(batch.marks), dtype=np.uint8).reshape(-1, VALUES // 4 if first else VALUES)
+            marks = np.frombuffer(b"".join(batch.marks), dtype=np.uint8).reshape(-1, VALUES // 4)
             # Places in the batch of the two texts of each pair.
             left, right, middles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, dtype=bool)]
             for step in range(1, min(reach, len(ids) - 1) + 1):
-                near = np.flatnonzero((region[:-step] == region[step:]) & (root[:-step] != root[step:]))
+                near = np.flatnonzero(region[:-step] == region[step:])
                 if not len(near):
                     continue
-                near = near[_close(tail[near], tail[near + step], n[near], n[near + step], percent, agree)]
-                near = near[_alike(marks[near], marks[near + step], not first)]
+                near = near[_close(tail[near], tail[near + step], n[near], n[near + step], percent)]
+                near = near[_alike(marks[near], marks[near + step])]
                 left.append(near)
                 right.append(near + step)
                 middles.append(np.zeros(len(near), dtype=bool))
             edges = np.flatnonzero(np.r_[True, region[1:] != region[:-1], True])
             for start, end in zip(edges[:-1], edges[1:]):
-                if not first or end - start <= 2 * reach:
+                if end - start <= 2 * reach:
                     continue
                 part = tail[start:end]
                 votes = np.zeros(end - start, dtype=np.int64)
@@ -201,9 +206,8 @@ def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool)
                 middle = int(np.argmax(votes))
                 centre = np.broadcast_to(part[middle], part.shape)
                 own = n[start:end]
-                close = _close(part, centre, own, np.full_like(own, own[middle]), percent, agree)
-                others = start + np.flatnonzero(close)
-                others = others[_alike(marks[others], marks[start + middle], False)]
+                others = start + np.flatnonzero(_close(part, centre, own, np.full_like(own, own[middle]), percent))
+                others = others[_alike(marks[others], marks[start + middle])]
                 left.append(np.full(len(others), start + middle))
                 right.append(others)
                 middles.append(np.ones(len(others), dtype=bool))
@@ -211,14 +215,14 @@ def _pairs(trees: DataFrame, percent: int, reach: int, agree: int, first: bool)
             ahead = ids[one] <= ids[two]
             low, high = np.where(ahead, one, two), np.where(ahead, two, one)
             out = pd.DataFrame({
-                "a": ids[low], "b": ids[high], "ra": root[low], "rb": root[high], "met": 1,
+                "a": ids[low], "b": ids[high], "met": 1,
                 "by_a": (middle & ahead).astype(np.int64), "by_b": (middle & ~ahead).astype(np.int64),
             })
-            yield out[out.a != out.b].groupby(["a", "b", "ra", "rb"], as_index=False).sum()
+            yield out[out.a != out.b].groupby(["a", "b"], as_index=False).sum()
 
     ordered = trees.repartitionByRange("region", "suffix", "id").sortWithinPartitions("region", "suffix", "id")
-    found = ordered.mapInPandas(rows, "a long, b long, ra long, rb long, met long, by_a long, by_b long")
-    return found.groupBy("a", "b", "ra", "rb").agg(*[F.sum(c).alias(c) for c in ("met", "by_a", "by_b")])
+    found = ordered.mapInPandas(rows, "a long, b long, met long, by_a long, by_b long")
+    return found.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("met", "by_a", "by_b")])
 
 
 def _places(classes: DataFrame) -> DataFrame:
@@ -234,21 +238,26 @@ def _places(classes: DataFrame) -> DataFrame:
     return classes.select("id", "root", "sig").mapInPandas(rows, "region long, id long, root long")
 
 
-def _left_over(classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of texts of a region that are in different groups and that no bound excludes.
-
-    In each region the rows outside its largest group meet all rows of other
-    groups. Both sides are dealt into blocks by a hash of the id; a pair of
-    blocks is one unit of work, so no region fills a task. A pair is left out if its sizes or
-    parity maps show that the sets cannot be linked. ``classes`` has the groups in ``root``.
-    """
-    places = _places(classes)
+def _mixed(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The regions that hold several groups, with their rows, and the places in them."""
     mixed = stored(
         places.groupBy("region").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
         .where("low < high").select("region", "rows"),
         "mixed",
     )
-    spots = stored(lookup(places, mixed, ["region"], counts=mixed, n="rows"), "spots")
+    spots = lookup(places, mixed, ["region"], counts=mixed, n="rows").drop("rows")
+    return mixed, stored(spots, "spots")
+
+
+def _between(mixed: DataFrame, spots: DataFrame, facts: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Pairs of texts of a region that are in different groups and that no bound excludes.
+
+    In each region the rows outside its largest group meet all rows of other
+    groups. Both sides are dealt into blocks by a hash of the id; a pair of
+    blocks is one unit of work, so no region fills a task. A pair is left out if its sizes or
+    parity maps show that the sets cannot be linked. If ``closest``, of a text's pairs with
+    a group a block gives the one whose maps differ in the smallest share. ``facts``: id, n, parity.
+    """
     groups = spots.groupBy("region", "root").agg(F.count("*").alias("m"))
     table = stored(
         groups.groupBy("region").agg(F.sum("m").alias("size"), F.max(F.struct("m", "root")).alias("top"))
@@ -258,8 +267,7 @@ def _left_over(classes: DataFrame, percent: int) -> DataFrame:
         ),
         "regions",
     )
-    facts = classes.select("id", "n", "parity")
-    rows = lookup(spots.drop("rows"), table, ["region"], counts=mixed, n="rows").join(facts, "id")
+    rows = lookup(spots, table, ["region"], counts=mixed, n="rows").join(facts, "id")
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
 
     def side(df: DataFrame, own: str, other: str, probe: bool) -> DataFrame:
@@ -289,13 +297,32 @@ def _left_over(classes: DataFrame, percent: int) -> DataFrame:
         if probe.all() or not probe.any():
             return
         ids, n, root = (block[c].to_numpy() for c in ("id", "n", "root"))
-        maps = np.frombuffer(b"".join(block.parity), dtype=np.uint64).reshape(-1, PARITY // 64)
+        own = [np.frombuffer(m, dtype=np.uint64)[None, :] for m in block.parity]
+        width = np.array([m.shape[1] for m in own])
         to = np.flatnonzero(~probe)
+        # (own width, compared width) -> maps of the targets of that own width, and their places in it
+        tables: dict[tuple[int, int], np.ndarray] = {}
+        at = np.zeros(len(ids), dtype=np.int64)
+        for words in np.unique(width[to]):
+            same = to[width[to] == words]
+            at[same] = np.arange(len(same))
+            tables[words, words] = np.concatenate([own[i] for i in same])
         for one in np.flatnonzero(probe):
             two = to[root[to] != root[one]]
             two = two[100 * np.minimum(n[two], n[one]) >= percent * np.maximum(n[two], n[one])]
-            apart = np.bitwise_count(maps[two] ^ maps[one]).sum(axis=1, dtype=np.int64)
-            two = two[(100 + percent) * apart <= (100 - percent) * (n[two] + n[one])]
+            apart = np.zeros(len(two), dtype=np.int64)
+            for words in np.unique(width[two]):
+                least = min(words, width[one])
+                if (words, least) not in tables:
+                    tables[words, least] = _narrowed(tables[words, words], least)
+                part = np.flatnonzero(width[two] == words)
+                maps = tables[words, least][at[two[part]]] ^ _narrowed(own[one], least)
+                apart[part] = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * (n[two] + n[one])
+            two, apart = two[near], apart[near]
+            if closest and len(two):
+                order = np.lexsort((ids[two], apart / (n[two] + n[one])))
+                two = two[order][np.unique(root[two[order]], return_index=True)[1]]
             if len(two):
                 ahead = ids[two] > ids[one]
                 yield pd.DataFrame({
@@ -372,10 +399,6 @@ def _likely(pairs: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-
 def _with_root(df: DataFrame, roots: DataFrame, name: str, out: str) -> DataFrame:
     """Column ``out``: the root of the node in column ``name``, or that node itself."""
     to = roots.select(F.col("node").alias(name), F.col("root").alias(out))
@@ -384,7 +407,7 @@ def _with_root(df: DataFrame, roots: DataFrame, name: str, out: str) -> DataFram
 
 def _merged(roots: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``roots`` after joining the groups that confirmed pairs between them (``ra``, ``rb``) link."""
-    links = _confirmed(pairs.where("ra <> rb").select("a", "b", "ra", "rb"), sets, percent)
+    links = _confirmed(pairs, sets, percent)
     tops = components(stored(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links"))
     tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
@@ -411,19 +434,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("parity").alias("parity")),
         "classes",
     )
-    alone = classes.withColumn("root", F.col("id"))
-    pairs = stored(_pairs(_trees(alone, False), percent, NEIGHBOURS, AGREE, True), "pairs")
-    sets = stored(_sets(docs, pairs, words), "sets")
-    roots = components(stored(_confirmed(_likely(pairs), sets, percent), "links"))
-    # A pair inside one group can add nothing; the others are confirmed as well.
-    met = _with_root(_with_root(pairs.select("a", "b"), roots, "a", "ra"), roots, "b", "rb")
-    roots = _merged(roots, met, sets, percent)
-    crowded = _with_root(classes.join(_ends(pairs), "id", "left_semi"), roots, "id", "root")
-    further = stored(_pairs(_trees(crowded, True), percent, REACH, AGREE_FURTHER, False), "pairs")
-    roots = _merged(roots, further, sets, percent)
-    left = stored(_left_over(_with_root(classes, roots, "id", "root"), percent), "left")
-    if left.limit(1).count():
+    likely = stored(_likely(stored(_pairs(_trees(classes), percent), "pairs")), "likely")
+    roots = components(stored(_confirmed(likely, stored(_sets(docs, likely, words), "sets"), percent), "links"))
+    places = _places(_with_root(classes, roots, "id", "root"))
+    for closest in (True, False):
+        mixed, spots = _mixed(places)
+        left = stored(_between(mixed, spots, classes.select("id", "n", "parity"), percent, closest), "left")
+        if left.limit(1).count() == 0:
+            break  # nothing stands between groups
         roots = _merged(roots, left, stored(_sets(docs, left, words), "sets"), percent)
+        places = _with_root(spots.drop("root"), roots, "id", "root")
     named = stored(_with_root(classes, roots, "id", "root").select("key", "root"), "groups")
     group = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
     return (

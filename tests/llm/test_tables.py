@@ -212,6 +212,47 @@ def test_only_link_in_a_crowded_group(spark):
     assert [r.doc_id for r in rows if r.kept] == [0]
 
 
+def test_parity_maps_bound_sets_of_any_size():
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 250, 3000, 30_000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for own in (0, n // 9, n // 3):
+            y = np.unique(np.r_[x[own:], rng.integers(0, 2**63, own // 2, dtype=np.uint64)])
+            if not len(y):
+                continue
+            maps = [np.frombuffer(forest._parity(s), dtype=np.uint64)[None, :] for s in (x, y)]
+            least = min(m.shape[1] for m in maps)
+            one, two = (forest._narrowed(m, least) for m in maps)
+            assert np.bitwise_count(one ^ two).sum() <= len(np.setxor1d(x, y))
+            assert (forest._narrowed(one, 4) == forest._narrowed(maps[0], 4)).all()
+
+
+def test_long_family_gives_few_candidates(spark, monkeypatch):
+    """300 copies of a 3,000-word text with own changes, unlinked (similarity near 0.57); two of them have a linked copy."""
+    rng = np.random.default_rng(11)
+    fresh = iter(range(10**7))
+    base = [f"w{i}" for i in range(3000)]
+    sets = []
+    for _ in range(300):
+        copy = list(base)
+        for at in rng.choice(3000, 410, replace=False):
+            copy[at] = f"x{next(fresh)}"
+        sets.append(copy)
+    sets += [sets[5][:-100], sets[250][:-100]]
+    rows, write = {}, forest.stored
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(forest, "stored", counted)
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in forest.near_duplicates(df, words=1).collect()}
+    assert got == {i: i for i in range(300)} | {300: 5, 301: 250}
+    assert rows["left"] + rows["pairs"] < 5000
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     rows = forest.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
