@@ -112,7 +112,7 @@ SQL = {
             from documents
         ), sets as (
             select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
-                else list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) end as s
+                else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
             from words
         ), grams as (select doc_id, len(s) as n, unnest(s) as g from sets
         ), links as (
