@@ -77,6 +77,39 @@ def mape(spark, sf_dir):
     return _rounded(metrics.mape(predictions(spark, sf_dir)), "mape")
 
 
+@query(
+    "mape_percent",
+    "select round(avg(abs(prediction - label) / nullif(label, 0)) * 100, 4) as mape from predictions",
+    ("predictions",),
+)
+def mape_percent(spark, sf_dir):
+    return metrics.mape(predictions(spark, sf_dir), percent=True).select(F.round("mape", 4).alias("mape"))
+
+
+@query(
+    "metric_bundle_zero_based",
+    f"""with {GRID} select grid_id, round(max(accuracy), 6) as accuracy, round(max(f1), 6) as f1,
+          round(max(mae), 6) as mae, round(max(mape), 6) as mape from
+          (select grid_id, avg(case when label = prediction then 1 else 0 end) as accuracy, null as f1,
+             avg(abs(prediction - label)) as mae, avg(abs(prediction - label) / label) as mape
+           from predictions group by grid_id
+           union all select grid_id, null, sum(f1 * support) / sum(support), null, null from
+             (select grid_id, class, support, case when precision + recall > 0
+                then 2 * precision * recall / (precision + recall) else 0::double end as f1 from
+               (select grid_id, class, sum(support) as support,
+                  case when sum(predicted) > 0 then sum(hits)::double / sum(predicted) else 0 end as precision,
+                  case when sum(support) > 0 then sum(hits)::double / sum(support) else 0 end as recall
+                from sums group by grid_id, class) r) s
+           group by grid_id) x group by grid_id""",
+    ("predictions",),
+)
+def metric_bundle_zero_based(spark, sf_dir):
+    """Labels and predictions counted from 0, as class indices are; relative errors on the ratings."""
+    zero_based = predictions(spark, sf_dir).withColumns({c: F.col(c) - 1 for c in ("label", "prediction")})
+    rows = metrics.metric_bundle(zero_based, by=["grid_id"], shift=1.0)
+    return _rounded(rows, "accuracy", "f1", "mae", "mape")
+
+
 @query(
     "weighted_f1",
     f"with {ONE} select round(sum(f1 * support) / sum(support), 6) as f1 from report",

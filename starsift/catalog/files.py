@@ -51,15 +51,8 @@ def scan_tsv_typed(spark, sf_dir):
     return df.select("review_id", "review_body", F.col("star_rating").alias("label"))
 
 
-@query(
-    "scan_skip_bad",
-    f"""select {CAST_SQL.replace("cast(star_rating as varchar)",
-            f"case when {sql_hash('review_id')} % 10 = 1 then null else cast(star_rating as varchar) end")}
-        from reviews where {sql_hash('review_id')} % 10 <> 0""",
-    ("reviews",),
-)
-def scan_skip_bad(spark, sf_dir):
-    # A tenth of the lines gets a surplus field, another tenth loses its last one.
+def _uneven_lines(spark, sf_dir):
+    """A file without header; a tenth of the lines gets a surplus field, another tenth loses its last one."""
     df = view(spark, sf_dir, "reviews")
     kind = bucket("review_id", 10)
     fields = [F.col(c).cast("string") for c in REVIEW_COLUMNS]
@@ -70,9 +63,34 @@ def scan_skip_bad(spark, sf_dir):
     )
     path = scratch_path(spark, "lines")
     df.select(line.alias("value")).write.text(path)
+    return path
+
+
+@query(
+    "scan_skip_bad",
+    f"""select {CAST_SQL.replace("cast(star_rating as varchar)",
+            f"case when {sql_hash('review_id')} % 10 = 1 then null else cast(star_rating as varchar) end")}
+        from reviews where {sql_hash('review_id')} % 10 <> 0""",
+    ("reviews",),
+)
+def scan_skip_bad(spark, sf_dir):
+    path = _uneven_lines(spark, sf_dir)
     return files.read_reviews_skip_long(spark, path, header=False)
 
 
+@query(
+    "scan_rejects",
+    f"""select concat_ws(chr(9), {', '.join(f"cast({c} as varchar)" for c in REVIEW_COLUMNS)}, 'surplus') as line,
+          {len(REVIEW_COLUMNS) + 1}::integer as n_fields,
+          '{len(REVIEW_COLUMNS) + 1} fields, {len(REVIEW_COLUMNS)} expected' as reason, true as from_file
+        from reviews where {sql_hash('review_id')} % 10 = 0""",
+    ("reviews",),
+)
+def scan_rejects(spark, sf_dir):
+    rejects = files.read_rejects(spark, _uneven_lines(spark, sf_dir), header=False)
+    return rejects.select("line", "n_fields", "reason", F.col("file").contains("/part-").alias("from_file"))
+
+
 @query("scan_tsv_wide", f"select {CAST_SQL} from reviews", ("reviews",))
 def scan_tsv_wide(spark, sf_dir):
     # Other columns and another order than the rows have; names decide.

@@ -9,6 +9,7 @@ from starsift.catalog.registry import query
 from starsift.functions import text as tx
 from starsift.functions.hashing import bucket
 from starsift.operators import density, profile, sampling, setops
+from starsift.session import scratch_path
 
 # Thresholds at which each filter removes some rows of the benchmark tables.
 MIN_LEN = 24
@@ -89,9 +90,7 @@ def project_label(spark, sf_dir):
     )
 
 
-@query(
-    "null_profile",
-    """select count(*) filter (review_id is null) as review_id,
+NULLS_SQL = """select count(*) filter (review_id is null) as review_id,
               count(*) filter (customer_id is null) as customer_id,
               count(*) filter (product_id is null) as product_id,
               count(*) filter (review_headline is null) as review_headline,
@@ -99,15 +98,31 @@ def project_label(spark, sf_dir):
               count(*) filter (star_rating is null) as star_rating,
               count(*) filter (score is null or isnan(score)) as score
        from (select *, case when review_id % 13 = 0 then 'nan'::double
-                            else cast(star_rating as double) end as score from review_docs) x""",
-    ("review_docs",),
-)
-def null_profile(spark, sf_dir):
+                            else cast(star_rating as double) end as score from review_docs) x"""
+
+
+def _with_nan(spark, sf_dir):
     df = view(spark, sf_dir, "review_docs").drop("lang")
     score = F.when(F.col("review_id") % 13 == 0, F.lit(float("nan"))).otherwise(
         F.col("star_rating").cast("double")
     )
-    return profile.null_profile(df.withColumn("score", score))
+    return df.withColumn("score", score)
+
+
+@query("null_profile", NULLS_SQL, ("review_docs",))
+def null_profile(spark, sf_dir):
+    return profile.null_profile(_with_nan(spark, sf_dir))
+
+
+@query(
+    "null_profile_observed",
+    NULLS_SQL.replace("select count(*)", "select count(*) as n_rows, count(*)", 1),
+    ("review_docs",),
+)
+def null_profile_observed(spark, sf_dir):
+    """The same counts, taken while the rows are written."""
+    done = profile.write_profiled(_with_nan(spark, sf_dir), scratch_path(spark, "profiled"))
+    return done.profile().withColumn("n_rows", F.lit(done.n_rows).cast("bigint"))
 
 
 @query(

@@ -26,15 +26,16 @@ def mae(df: DataFrame, label: str = "label", prediction: str = "prediction") ->
 
 
 def mape(
-    df: DataFrame, label: str = "label", prediction: str = "prediction", *, shift: float = 0.0
+    df: DataFrame, label: str = "label", prediction: str = "prediction", *, shift: float = 0.0,
+    percent: bool = False,
 ) -> DataFrame:
-    """Mean |prediction - label| / (label + shift), as a fraction.
+    """Mean |prediction - label| / (label + shift), as a fraction or in ``percent``.
 
     ``shift=1`` restores 1-based ratings from 0-based labels. Rows whose
     shifted label is 0 have no percentage error and are left out.
     """
     ratio = F.try_divide(abs_error(label, prediction), F.col(label) + F.lit(float(shift)))
-    return df.agg(F.avg(ratio).alias("mape"))
+    return df.agg((F.avg(ratio) * (100.0 if percent else 1.0)).alias("mape"))
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -111,8 +112,12 @@ def metric_bundle(
     *,
     by: Sequence[str] = (),
     shift: float = 0.0,
+    percent: bool = False,
 ) -> DataFrame:
-    """accuracy, weighted f1, mae and mape in one pass, per group if ``by`` is given."""
+    """accuracy, weighted f1, mae and mape in one pass, per group if ``by`` is given.
+
+    ``shift`` and ``percent`` as in ``mape``.
+    """
     by = list(by)
     cells = df.groupBy(*by, label, prediction).agg(F.count(F.lit(1)).alias("n"))
     n, err = F.col("n").cast("double"), abs_error(label, prediction).cast("double")
@@ -126,7 +131,7 @@ def metric_bundle(
         _ratio(F.sum("hits"), F.sum("support")).alias("accuracy"),
         _weighted("f1").alias("f1"),
         _ratio(F.sum("_err"), F.sum("support")).alias("mae"),
-        _ratio(F.sum("_rel"), F.sum("_known")).alias("mape"),
+        (_ratio(F.sum("_rel"), F.sum("_known")) * (100.0 if percent else 1.0)).alias("mape"),
     )
 
 

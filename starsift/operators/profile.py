@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def null_profile(df: DataFrame) -> DataFrame:
-    """One row: per column the number of NULL (for floating types also NaN) values."""
+def missing_counts(df: DataFrame) -> list[Column]:
+    """Per column the number of NULL (for floating types also NaN) values, as aggregates."""
 
     def missing(field: T.StructField):
         c = F.col(field.name)
@@ -18,7 +20,45 @@ def null_profile(df: DataFrame) -> DataFrame:
             return c.isNull() | F.isnan(c)
         return c.isNull()
 
-    return df.agg(*[F.count_if(missing(f)).alias(f.name) for f in df.schema.fields])
+    return [F.count_if(missing(f)).alias(f.name) for f in df.schema.fields]
+
+
+def null_profile(df: DataFrame) -> DataFrame:
+    """One row: per column the number of NULL (for floating types also NaN) values."""
+    return df.agg(*missing_counts(df))
+
+
+@dataclass
+class Written:
+    """A written frame, read back, with what was counted on the way and the seconds it took."""
+
+    rows: DataFrame
+    n_rows: int
+    missing: dict[str, int]
+    seconds: float
+
+    def profile(self) -> DataFrame:
+        """``null_profile`` of the rows, from the counts."""
+        fields = ", ".join(f"`{name}` bigint" for name in self.missing)
+        return self.rows.sparkSession.createDataFrame([tuple(self.missing.values())], fields)
+
+
+def write_profiled(df: DataFrame, path: str) -> Written:
+    """Write ``df`` as Parquet and count rows and missing values in the same job.
+
+    The counts ride on the write (``observe``) in its last stage, where a task counts
+    once however often it is tried, so no second scan is needed. The time is that of the
+    forced write, not of planning.
+    """
+    seen = Observation()
+    counts = [F.struct(*missing_counts(df)).alias("missing"), F.count(F.lit(1)).alias("n_rows")]
+    start = time.monotonic()
+    df.observe(seen, *counts).write.parquet(path)
+    seconds = time.monotonic() - start
+    found = seen.get
+    missing = found["missing"].asDict()
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    return Written(rows, int(found["n_rows"]), {c: int(missing[c]) for c in df.columns}, seconds)
 
 
 def drop_nulls(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

@@ -71,12 +71,28 @@ def read_reviews(
     return df.repartition(partitions) if partitions else df
 
 
-def _too_many_fields(line: Column, sep: str, n: int) -> Column:
-    """Has the line more than ``n`` fields? Separators inside quotes do not count."""
+def _field_count(line: Column, sep: str) -> Column:
+    """Fields of a line; separators inside quotes do not count."""
     mark = re.escape(sep)
     bare = F.regexp_replace(line, f'(^|{mark})"(?:[^"]|"")*"', "$1")
-    many = [F.regexp_count(text, F.lit(mark)) >= n for text in (line, bare)]
-    return many[0] & many[1]
+    return F.least(*[F.regexp_count(text, F.lit(mark)) for text in (line, bare)]) + 1
+
+
+def _data_lines(
+    spark: SparkSession, path: str, schema: T.StructType, sep: str, header: bool
+) -> tuple[DataFrame, list[str] | None]:
+    """The lines that hold rows (``value``, ``_metadata``), and the names of their fields; None without a header line."""
+    lines = spark.read.text(path).filter(F.col("value") != "")
+    if not header:
+        return lines, schema.names
+    first = lines.first()
+    if first is None:
+        return lines, None
+    names = next(csv.reader([first["value"].removeprefix("\ufeff")], delimiter=sep))
+    absent = [name for name in schema.names if name not in names]
+    if absent:
+        raise ValueError(f"columns {absent} are not in the header {names}")
+    return lines.filter(F.col("value") != first["value"]), names
 
 
 def read_reviews_skip_long(
@@ -96,18 +112,10 @@ def read_reviews_skip_long(
     fields, and the columns of ``schema`` are found by name; lines equal to it are
     headers of other parts. Without it they are taken by position.
     """
-    lines = spark.read.text(path).filter(F.col("value") != "")
-    names = schema.names
-    if header:
-        first = lines.first()
-        if first is None:
-            return spark.createDataFrame([], schema)
-        names = next(csv.reader([first["value"].removeprefix("\ufeff")], delimiter=sep))
-        lines = lines.filter(F.col("value") != first["value"])
-        absent = [name for name in schema.names if name not in names]
-        if absent:
-            raise ValueError(f"columns {absent} are not in the header {names}")
-    fits = lines.filter(~_too_many_fields(F.col("value"), sep, len(names)))
+    lines, names = _data_lines(spark, path, schema, sep, header)
+    if names is None:
+        return spark.createDataFrame([], schema)
+    fits = lines.filter(_field_count(F.col("value"), sep) <= len(names))
     texts = ", ".join(f"_c{i} string" for i in range(len(names)))
     row = F.from_csv("value", texts, {"sep": sep, "escape": '"'}).alias("_row")
     picked = [F.col(f"_row._c{names.index(name)}").alias(name) for name in schema.names]
@@ -117,6 +125,24 @@ def read_reviews_skip_long(
     )
 
 
+def read_rejects(
+    spark: SparkSession, path: str, *, schema: T.StructType = REVIEW_TEXT, sep: str = "\t", header: bool = True
+) -> DataFrame:
+    """The lines that ``read_reviews_skip_long`` skips: file, line, n_fields, reason.
+
+    Together with its rows these are all lines but empty ones and headers. Lines
+    with too few fields are padded there, so they are not among them.
+    """
+    lines, names = _data_lines(spark, path, schema, sep, header)
+    width = len(names or schema.names)
+    found = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"),
+        _field_count(F.col("value"), sep).alias("n_fields"),
+    )
+    why = F.concat(F.col("n_fields").cast("string"), F.lit(f" fields, {width} expected"))
+    return found.filter(F.col("n_fields") > width).withColumn("reason", why)
+
+
 def read_text_label(
     spark: SparkSession, path: str, *, schema: T.StructType = TEXT_LABEL, multi_line: bool = False
 ) -> DataFrame:

@@ -143,3 +143,31 @@ def test_quotes_and_tabs_come_back(spark):
     path = scratch_path(spark, "q")
     files.write_csv(df, path, sep="\t")
     assert tuple(files.read_reviews(spark, path, multi_line=True).first()) == row
+
+
+def test_rejects_and_rows_are_all_lines(spark, tsv):
+    rejects = files.read_rejects(spark, tsv)
+    rows = {r.line.split("\t")[1]: r for r in rejects.collect()}
+    assert {i: r.n_fields for i, r in rows.items()} == {"r3": 7, "r4": 7, "r6": 8}
+    assert all(r.file.endswith("reviews.tsv") and r.reason.endswith("6 expected") for r in rows.values())
+    assert rejects.count() + files.read_reviews_skip_long(spark, tsv).count() == 6
+    # Without a header line all lines are rows, the first one too.
+    assert files.read_rejects(spark, tsv, header=False).count() == 3
+
+
+def test_rejects_of_an_empty_file(spark, tmp_path):
+    path = tmp_path / "empty.tsv"
+    path.write_text("")
+    assert files.read_rejects(spark, str(path)).count() == 0
+
+
+def test_profile_counted_while_writing(spark):
+    df = spark.createDataFrame(
+        [(1, None, float("nan")), (2, "a", 1.0), (None, None, None)], "n_rows long, missing string, x double"
+    )
+    done = profile.write_profiled(df, scratch_path(spark, "profiled"))
+    assert done.n_rows == 3 and done.missing == {"n_rows": 1, "missing": 2, "x": 2} and done.seconds > 0
+    assert done.profile().collect() == profile.null_profile(df).collect()
+    assert done.rows.count() == 3 and done.rows.schema == df.schema
+    empty = profile.write_profiled(df.limit(0), scratch_path(spark, "profiled"))
+    assert empty.n_rows == 0 and set(empty.missing.values()) == {0} and empty.rows.count() == 0

@@ -74,3 +74,13 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "label double, prediction double")
     row = metrics.metric_bundle(df).first()
     assert row.accuracy is None and row.f1 is None
+
+
+def test_percent_and_zero_based_labels(spark):
+    rated = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (4.0, 3.0), (5.0, 5.0)], "label double, prediction double")
+    zero = rated.selectExpr("label - 1 as label", "prediction - 1 as prediction")
+    want = (1 / 1 + 0 + 1 / 4 + 0) / 4
+    assert metrics.mape(rated, percent=True).first().mape == pytest.approx(100 * want)
+    assert metrics.mape(zero, shift=1.0).first().mape == pytest.approx(want)
+    a, b = (metrics.metric_bundle(df, shift=s, percent=True).first() for df, s in ((rated, 0.0), (zero, 1.0)))
+    assert tuple(a) == pytest.approx(tuple(b)) and a.mape == pytest.approx(100 * want)
