@@ -17,6 +17,7 @@ from starsift.catalog.registry import query
 from starsift.catalog.relational import sql_hash
 from starsift.catalog.texts import TERMS_SQL, tokenized
 from starsift.operators import models, sampling
+from starsift.plans import flows
 from starsift.session import scratch_path, shared_path
 
 HASH_WIDTH = models.HASH_FEATURES
@@ -193,6 +194,25 @@ def best_params(spark, sf_dir):
     return tune_forest(spark, sf_dir).best_param_frame(spark)
 
 
+@query("flow_tfidf_mlp")
+def flow_tfidf_mlp(spark, sf_dir):
+    """Metrics of the tuned network's own predictions; the search is that of ``cv_mlp`` and shares its ledger."""
+    return flows.tune_and_score(
+        *_parts(spark, sf_dir), models.tfidf_stages(), lambda units: models.perceptron(HASH_WIDTH, units),
+        models.MLP_TUNING_GRID, numeric=False, shift=1.0, percent=True, parallelism=5, segment=SEGMENT,
+        ledger=shared_path(spark, "search"),
+    ).metrics
+
+
+@query("flow_word2vec_forest")
+def flow_word2vec_forest(spark, sf_dir):
+    """Metrics of the tuned forest's own predictions; the search is that of ``cv_rf`` and shares its ledger."""
+    return flows.tune_and_score(
+        *_parts(spark, sf_dir), models.word2vec_stages(size=VECTOR_SIZE), lambda units: models.forest(),
+        models.FOREST_GRID, numeric=False, shift=1.0, parallelism=5, ledger=shared_path(spark, "search"),
+    ).metrics
+
+
 @query("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
     train, test = _parts(spark, sf_dir)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from starsift.operators.lookup import lookup
 from starsift.operators.numbering import numbered
-from starsift.operators.terms import document_frequency, term_frequency
+from starsift.operators.terms import document_frequency, idf_weight, term_frequency
 from starsift.session import stored
 
 
@@ -47,6 +47,29 @@ def count_vectors(df: DataFrame, *, key: str = "review_id", tokens: str = "token
     )
 
 
+def tfidf_vectors(
+    df: DataFrame, *, key: str = "review_id", tokens: str = "tokens", min_doc_freq: int = 0
+) -> DataFrame:
+    """``key, indices, counts, weights``: sparse TF-IDF vectors over all terms, ids ascending.
+
+    Terms of fewer than ``min_doc_freq`` documents keep their place with a weight of 0.
+    The texts are read once for the terms; documents without terms get empty vectors.
+    """
+    counted = stored(term_frequency(df.select(key, tokens), key=key, tokens=tokens), "term-counts")
+    ids = stored(with_ids(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), "term-ids")
+    n_docs = df.agg(F.count(F.lit(1))).scalar()
+    weights = ids.select("term", "id", idf_weight(n_docs, min_doc_freq).alias("idf"))
+    rows = lookup(counted, weights, ["term"], counts=ids, n="df")
+    entry = F.struct("id", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+    vectors = rows.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_v"))
+    kinds = {"indices": ("id", "bigint"), "counts": ("tf", "bigint"), "weights": ("weight", "double")}
+    return df.select(key).join(vectors, key, "left").select(
+        key,
+        *[F.coalesce(F.col(f"_v.{field}"), F.array().cast(f"array<{kind}>")).alias(name)
+          for name, (field, kind) in kinds.items()],
+    )
+
+
 def vocabulary(df: DataFrame, *, key: str = "review_id", tokens: str = "tokens", min_df: int = 1) -> DataFrame:
     """``term, df, id`` of all terms of the documents."""
     return with_ids(document_frequency(df, key=key, tokens=tokens), least=min_df)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,12 +56,17 @@ def term_frequency(
     return rows.select(key, *keep, F.inline(runs))
 
 
-def idf_weights(frequencies: DataFrame, n_docs, min_doc_freq: int = 0) -> DataFrame:
-    """term, df, idf = ln((n_docs + 1) / (df + 1)); 0 below ``min_doc_freq``."""
+def idf_weight(n_docs: Column, min_doc_freq: int = 0) -> Column:
+    """ln((n_docs + 1) / (df + 1)); 0 below ``min_doc_freq``."""
     idf = F.log((n_docs + F.lit(1)).cast("double") / (F.col("df") + 1).cast("double"))
     if min_doc_freq:
         idf = F.when(F.col("df") >= min_doc_freq, idf).otherwise(F.lit(0.0).cast("double"))
-    return frequencies.select("term", "df", idf.alias("idf"))
+    return idf
+
+
+def idf_weights(frequencies: DataFrame, n_docs: Column, min_doc_freq: int = 0) -> DataFrame:
+    """term, df, idf (see ``idf_weight``)."""
+    return frequencies.select("term", "df", idf_weight(n_docs, min_doc_freq).alias("idf"))
 
 
 def tfidf(

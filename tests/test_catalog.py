@@ -12,6 +12,7 @@ def test_registry():
     only_rows = set(QUERIES) - set(SQL)
     assert only_rows == {
         "hashing_tf", "word2vec_doc", "mlp_predict", "rf_predict", "cv_mlp", "cv_rf", "best_params", "model_roundtrip",
+        "flow_tfidf_mlp", "flow_word2vec_forest",
     }
 
 
@@ -34,3 +35,11 @@ def test_tuning_queries(spark, sf_dir, name, points):
         assert max(r.accuracy for r in rows) > 0.9
     else:
         assert {"numTrees", "maxDepth"} <= {r.name for r in rows}
+
+
+@pytest.mark.parametrize("name", ["flow_tfidf_mlp", "flow_word2vec_forest"])
+def test_flow_metrics(spark, sf_dir, name):
+    """After the searches above, whose ledger they share: one refit each."""
+    row = queries()[name](spark, sf_dir).collect()[0]
+    assert row.accuracy > 0.8 and row.f1 > 0.7 and row.mae < 0.5
+    assert row.n_test == queries()["mlp_predict"](spark, sf_dir).count()
