@@ -167,3 +167,20 @@ def test_null_vectors_and_unseen_classes(spark):
 
     named = models.score(Fixed(), df, ["a", "b"]).collect()
     assert {r.id: r.predicted_label for r in named} == {1: "b", 2: None}
+
+
+def test_fits_read_partitions_of_their_own_rows(spark, labelled, monkeypatch):
+    df, _ = labelled
+    seen = []
+    fit = models.MultilayerPerceptronClassifier.fit
+
+    def noted(self, rows, *more):
+        seen.append(rows.rdd.getNumPartitions())
+        return fit(self, rows, *more)
+
+    monkeypatch.setattr(models.MultilayerPerceptronClassifier, "fit", noted)
+    network = models.perceptron(32, 3, hidden=[8], max_iter=2)
+    models.fit_classifier(df.repartition(40), models.tfidf_stages(n=32), network)
+    models.cross_validate(df.repartition(40), models.tfidf_stages(n=32), network, {"blockSize": [64]}, folds=3, refit=False)
+    assert seen == [1] * 4
+    assert [models._partitions(n, 12) for n in (0, 1, 5_000, 25_000, 10_000_000)] == [1, 1, 5, 12, 100]
