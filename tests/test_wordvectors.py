@@ -74,3 +74,20 @@ def test_no_words(spark):
     assert wordvectors.train(empty, size=4).collect() == []
     model = wordvectors.SkipGram(inputCol="tokens", outputCol="f").with_settings("review_id", size=4).fit(empty)
     assert [r.f.toArray().tolist() for r in model.transform(empty).select(F.col("f")).collect()] == [[0.0] * 4] * 2
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_document_vectors_by_table_or_join(spark, monkeypatch, most):
+    monkeypatch.setattr(wordvectors, "MAX_BROADCAST_VALUES", most)
+    table = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [0.5, -1.0])], "term string, v array<double>")
+    found = wordvectors.document_vectors(docs(spark, ODD), table, 2)
+    got = {r.review_id: r.embedding for r in found.collect()}
+    assert got == {1: [2.5 / 3, 1.0], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [0.25, -0.5], 5: [0.0, 0.0], 6: [0.5, -1.0]}
+    assert ("Union" in found._jdf.queryExecution().optimizedPlan().toString()) == (most == 0)
+
+
+def test_token_ids_keep_order_and_repeats(spark):
+    ids = spark.createDataFrame([("a", 7, 1), ("b", 2, 3)], "term string, id long, df long")
+    found = wordvectors.token_ids(docs(spark, ODD), ids, key="review_id", tokens="tokens")
+    assert {r.review_id: r.ids for r in found.collect()} == {1: [2, 7, 7], 4: [2, 2], 6: [2]}
+    assert "map_from_entries" not in found._jdf.queryExecution().analyzed().toString()
