@@ -122,13 +122,12 @@ def vectors(spark, sf_dir):
         from places join t on token_id = vec_id""",
 )
 def embedding_lookup(spark, sf_dir):
-    found = sequence.embedding_lookup(with_token_ids(spark, sf_dir), vectors(spark, sf_dir))
+    # As in the SQL, what is told of a vector is computed once a vector, not once a place.
     values = F.col("embedding").cast("array<double>")
     total = F.aggregate(values, F.lit(0.0).cast("double"), lambda a, x: a + x)
-    return found.select(
-        "doc_id", F.col("pos").cast("bigint").alias("pos"), "token_id",
-        F.round(values[0], 6).alias("first"), F.round(total, 6).alias("total"),
-    )
+    table = vectors(spark, sf_dir).withColumns({"first": F.round(values[0], 6), "total": F.round(total, 6)})
+    found = sequence.embedding_lookup(with_token_ids(spark, sf_dir), table)
+    return found.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token_id", "first", "total")
 
 
 def _spread(df):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starsift.functions.vectors import pad_to
-from starsift.operators.lookup import HOT_SHARE, lookup, with_group_stats
+from starsift.operators.lookup import HOT_SHARE, MAX_BROADCAST_VALUES, lookup, with_group_stats
 from starsift.operators.terms import document_frequency, term_frequency
 from starsift.session import stored
 
@@ -30,6 +30,12 @@ def pad_per_batch(
     return sized.withColumn(ids, pad_to(ids, F.col("_width"), fill)).drop("_width").unionByName(loose)
 
 
+def _sent(table: DataFrame) -> bool:
+    """Whether the vectors are few enough for every task to hold them."""
+    values = table.agg(F.coalesce(F.sum(F.size("embedding").cast("bigint")), F.lit(0)).alias("n")).first()["n"]
+    return values <= MAX_BROADCAST_VALUES
+
+
 def token_places(df: DataFrame, tokens: Column | str, *, key: str = "doc_id") -> DataFrame:
     """One row per token position: key, pos, token_id."""
     return df.select(key, F.posexplode(tokens).alias("pos", "token_id"))
@@ -43,8 +49,13 @@ def embedding_lookup(
     ids: str = "token_ids",
     share: int = HOT_SHARE,
 ) -> DataFrame:
-    """key, pos, token_id and the vector of every token that is in ``table``."""
+    """key, pos, token_id and the vector of every token that is in ``table``.
+
+    A table of checked size goes to the tasks, and nothing is shuffled.
+    """
     places = token_places(df, ids, key=key)
+    if _sent(table):
+        return places.join(F.broadcast(table), "token_id")
     counts = stored(places.groupBy("token_id").agg(F.count(F.lit(1)).alias("n")), "tokens")
     return lookup(places, table, ["token_id"], counts=counts, share=share)
 
@@ -52,10 +63,16 @@ def embedding_lookup(
 def _weighted_vectors(
     df: DataFrame, table: DataFrame, key: str, ids: str, share: int
 ) -> DataFrame:
-    """One row per (document, distinct token): its count, its vector, the document's size."""
+    """One row per (document, distinct token): its count, its vector, the document's size.
+
+    If the table goes to the tasks, a document's rows stay in one task, so they are
+    pooled there and a document is shuffled as one row instead of one a token.
+    """
     sized = df.withColumn("_size", F.size(ids))
     tf = term_frequency(sized, key=key, tokens=ids, keep=["_size"])
     tf = tf.withColumnRenamed("term", "token_id")
+    if _sent(table):
+        return tf.join(F.broadcast(table), "token_id")
     counts = document_frequency(df, key=key, tokens=ids).withColumnRenamed("term", "token_id")
     return lookup(tf, table, ["token_id"], counts=stored(counts, "tokens"), n="df", share=share)
 

@@ -122,3 +122,18 @@ def test_scores(spark):
     for row, out in zip(rows, got):
         hidden = np.maximum(np.array(row.x) @ np.array(w) + [0.0, 1.0], 0)
         assert np.allclose(out, hidden @ [[1.0], [2.0]] + 0.5)
+
+
+@pytest.mark.parametrize("most", [0, 30 * 4])
+def test_vectors_go_to_the_tasks_up_to_a_size(vectors, monkeypatch, most):
+    df, tf, docs, table = vectors
+    monkeypatch.setattr(sequence, "MAX_BROADCAST_VALUES", most)
+    found = sequence.embedding_lookup(df, tf, share=10)
+    assert {(r.doc_id, r.pos): r.embedding for r in found.collect()} == {
+        (d, i): table[t] for d, ts in docs.items() for i, t in enumerate(ts) if t in table}
+    pooled = sequence.max_pool(df, tf, 4, share=10)
+    for r in pooled.collect():
+        assert np.allclose(r.pooled, np.max([table[t] for t in docs[r.doc_id] if t in table], axis=0))
+    # In one piece, a document's rows are pooled where they are made; else they come from both sides of a lookup.
+    plan = pooled._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Union" in plan) == (most == 0)
