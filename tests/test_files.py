@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from starsift.operators import profile, setops
 from starsift.schema import REVIEW_COLUMNS, REVIEW_TEXT
@@ -171,3 +172,14 @@ def test_profile_counted_while_writing(spark):
     assert done.rows.count() == 3 and done.rows.schema == df.schema
     empty = profile.write_profiled(df.limit(0), scratch_path(spark, "profiled"))
     assert empty.n_rows == 0 and set(empty.missing.values()) == {0} and empty.rows.count() == 0
+
+
+def test_a_scan_with_tasks_enough_is_not_dealt_into_fewer(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    rows = spark.range(60).select(*[F.col("id").cast("string").alias(c) for c in REVIEW_COLUMNS]).repartition(6)
+    files.write_csv(rows, path, sep="\t")
+    with_parts = lambda n: files.read_reviews(spark, path, typed=True, partitions=n)
+    whole = with_parts(None).rdd.getNumPartitions()
+    assert whole > 2 and with_parts(2).rdd.getNumPartitions() == whole
+    assert with_parts(whole + 3).rdd.getNumPartitions() == whole + 3
+    assert with_parts(2).count() == 60
