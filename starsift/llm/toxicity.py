@@ -80,7 +80,11 @@ def ftrl_chosen(rows: list[np.ndarray], labels: np.ndarray, kept_back: np.ndarra
 
     Features of fewer than ``LEAST_ROWS`` rows are left out. Without rows of both kinds the strongest is taken.
     """
-    often = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= LEAST_ROWS
+    # One row at a time: all of them side by side would take more memory than the rows themselves.
+    times = np.zeros(1 << BITS, dtype=np.int32)
+    for r in rows:
+        times[r] += 1
+    often = times >= LEAST_ROWS
     rows = [r[often[r]] for r in rows]
     best = max(STRENGTHS)
     inside, aside = np.flatnonzero(~kept_back), np.flatnonzero(kept_back)

@@ -2,6 +2,7 @@
 
 import math
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -62,3 +63,17 @@ def test_clashing_column(spark, odd):
     labels = spark.createDataFrame([(1, 0), (4, 1)], "doc_id long, toxic int")
     with pytest.raises(ValueError):
         toxicity.score(odd, toxicity.fit(odd, labels))
+
+
+def test_choosing_features_takes_less_memory_than_the_rows(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 1 << toxicity.BITS, 900)).astype(np.int32) for _ in range(20_000)]
+    got = []
+    monkeypatch.setattr(toxicity, "ftrl", lambda rows, labels, l1: got.append(rows))
+    tracemalloc.start()
+    toxicity.ftrl_chosen(rows, np.zeros(len(rows)), np.zeros(len(rows), dtype=bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = np.bincount(np.concatenate(rows), minlength=1 << toxicity.BITS)
+    assert all(np.array_equal(a, r[n[r] >= toxicity.LEAST_ROWS]) for a, r in zip(got[0], rows))
+    assert peak < 2 * sum(r.nbytes for r in rows)
