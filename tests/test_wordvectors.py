@@ -91,3 +91,5 @@ def test_token_ids_keep_order_and_repeats(spark):
     found = wordvectors.token_ids(docs(spark, ODD), ids, key="review_id", tokens="tokens")
     assert {r.review_id: r.ids for r in found.collect()} == {1: [2, 7, 7], 4: [2, 2], 6: [2]}
     assert "map_from_entries" not in found._jdf.queryExecution().analyzed().toString()
+    with pytest.raises(Exception, match="documents with the same key"):
+        wordvectors.token_ids(docs(spark, ODD * 2), ids, key="review_id", tokens="tokens").collect()
