@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starsift.operators.lookup import HOT_SHARE, drop_hot, lookup
+from starsift.operators.lookup import HOT_KEYS, HOT_SHARE, drop_hot, lookup
 from starsift.session import stored
 
 
@@ -75,18 +75,22 @@ def tfidf(
     key: str = "review_id",
     tokens: str = "tokens",
     min_doc_freq: int = 0,
-    share: int = HOT_SHARE,
+    share: int | None = None,
+    most: int = HOT_KEYS,
 ) -> DataFrame:
     """key, term, tf, df, idf, tfidf for every term of every document.
 
-    The commonest terms hold most of the rows and take the broadcast side of
-    the lookup, so only rows of rarer terms are shuffled.
+    The commonest terms (``most`` at most, or those above ``share``, see ``lookup``) hold most of
+    the rows and take the broadcast side of the lookup, so only rows of rarer terms are shuffled.
+    The texts are read once for the terms, whose counts are written and read again.
     """
-    tf = term_frequency(df, key=key, tokens=tokens)
-    frequencies = stored(document_frequency(df, key=key, tokens=tokens), "terms")
+    tf = stored(term_frequency(df, key=key, tokens=tokens), "term-counts")
+    # A document has one row per term, so its frequency is a count of these rows.
+    frequencies = stored(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
     n_docs = df.agg(F.count(F.lit(1))).scalar()
     weights = idf_weights(frequencies, n_docs, min_doc_freq)
-    joined = lookup(tf, weights, ["term"], counts=frequencies, n="df", share=share)
+    hot = {"most": most} if share is None else {"share": share}
+    joined = lookup(tf, weights, ["term"], counts=frequencies, n="df", **hot)
     return joined.select(
         key, "term", "tf", "df", "idf", (F.col("tf") * F.col("idf")).alias("tfidf")
     )
@@ -96,9 +100,10 @@ def attach_features(details: DataFrame, features: DataFrame, key: str = "review_
     """Detail rows with their term rows, joined on the unique document key.
 
     Only the key, the features and the wanted details should be passed in; a
-    document's share of the rows is at most its own number of terms.
+    document's share of the rows is at most its own number of terms. The details, a row per
+    document, are the side that is hashed, so the many term rows are not sorted.
     """
-    return details.join(features, key)
+    return details.hint("shuffle_hash").join(features, key)
 
 
 def vocab_filter_rows(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer
 from pyspark.sql import functions as F
 
-from starsift.operators import terms
+from starsift.operators import lookup, terms
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +101,27 @@ def test_attach_features(docs):
     df, data = docs
     out = terms.attach_features(df.select("review_id"), terms.term_frequency(df))
     assert out.count() == sum(len(set(t)) for _, t in data)
+
+
+def test_common_terms_are_not_shuffled(docs):
+    """Texts are read once for their terms, and a vocabulary that fits goes to the tasks whole."""
+    df, _ = docs
+    plan = terms.tfidf(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "hashpartitioning(term" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 1, 7, 1000])
+def test_tfidf_of_common_and_rare_terms(docs, most):
+    df, data = docs
+    got = terms.tfidf(df, most=most).select("review_id", "term", "tf", "df").collect()
+    freq = frequencies(data)
+    want = {(i, t, n, freq[t]) for i, tokens in data for t, n in Counter(tokens).items()}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_common_keys(spark):
+    counts = spark.createDataFrame([(i, 1000 // (i + 1)) for i in range(200)], "k long, n long")
+    keys, every = lookup.common_keys(counts, ["k"], "n", 50)
+    got = {r.k for r in keys.collect()}
+    assert not every and 30 <= len(got) <= 50 and got == set(range(len(got)))
+    assert lookup.common_keys(counts, ["k"], "n", 200)[1]
