@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starsift.operators.lookup import HOT_SHARE, drop_hot, lookup
+from starsift.operators.lookup import HOT_KEYS, HOT_SHARE, drop_hot, lookup
 from starsift.session import stored
 
 PRODUCT = "product_id"
@@ -25,6 +25,22 @@ def stored_pair_counts(df: DataFrame) -> DataFrame:
     return stored(pair_counts(df), "pairs")
 
 
+def stored_pair_counts_within(df: DataFrame, inside: Column) -> tuple[DataFrame, DataFrame]:
+    """``pair_counts`` of all rows and of the rows ``inside``, from one pass; written once."""
+    rows = df.filter(F.col(PRODUCT).isNotNull() & F.col(CUSTOMER).isNotNull()).withColumn("_in", inside)
+    both = stored(
+        rows.groupBy(*PAIR).agg(
+            F.count("review_id").alias("n_reviews"),
+            # A test for null, so that a key that cannot be null need not be made.
+            F.count_if(F.col("_in") & F.col("review_id").isNotNull()).alias("_n_in"),
+            F.count_if("_in").alias("_rows_in"),
+        ),
+        "pairs",
+    )
+    within = both.filter(F.col("_rows_in") > 0).select(*PAIR, F.col("_n_in").alias("n_reviews"))
+    return both.select(*PAIR, "n_reviews"), within
+
+
 def pair_cap_having(counts: DataFrame, max_per_pair: int = 20) -> DataFrame:
     """Pairs with at most ``max_per_pair`` reviews; larger pairs go entirely."""
     return counts.filter(F.col("n_reviews") <= max_per_pair)
@@ -56,13 +72,15 @@ def density_filter(
     max_per_pair: int = 20,
     min_product: int = 2,
     min_customer: int = 2,
-    share: int = HOT_SHARE,
+    share: int | None = None,
 ) -> DataFrame:
     """Pairs under the cap whose product and customer both have enough pairs.
 
     Takes the stored pair counts. Both review counts are taken over the same
-    capped pairs, before either minimum is applied.
+    capped pairs, before either minimum is applied. Products and customers above ``share`` of the
+    pairs are looked up by broadcast, or by default the commonest ``HOT_KEYS``.
     """
+    hot = {"most": HOT_KEYS} if share is None else {"share": share}
     pairs = pair_cap_having(counts, max_per_pair)
     products = product_review_count(pairs)
     customers = customer_review_count(pairs)
@@ -72,7 +90,7 @@ def density_filter(
         [PRODUCT],
         counts=products,
         n="product_review_count",
-        share=share,
+        **hot,
     )
     return lookup(
         kept,
@@ -80,7 +98,7 @@ def density_filter(
         [CUSTOMER],
         counts=customers,
         n="customer_review_count",
-        share=share,
+        **hot,
     )
 
 
@@ -102,19 +120,21 @@ def join_back_pair(
 
 
 def join_back_customer(
-    df: DataFrame, pairs: DataFrame, counts: DataFrame, *, share: int = HOT_SHARE
+    df: DataFrame, pairs: DataFrame, counts: DataFrame, *, share: int | None = None
 ) -> DataFrame:
     """Review rows of the customers in ``pairs``, with their join multiplicity.
 
     Joining on the customer alone repeats every review once per surviving pair
     of its customer. The repeats are given as a column ``copies`` rather than as
     rows: same information, and the size stays that of the input. ``counts`` are
-    the stored pair counts of ``df``.
+    the stored pair counts of ``df``. Customers above ``share`` of the rows meet them by broadcast,
+    or by default the commonest ``HOT_KEYS``, so that rows are shuffled for rarer ones only.
     """
     rows = df.dropna(subset=[CUSTOMER])
     sizes = counts.groupBy(CUSTOMER).agg(F.sum("n_reviews").alias("n"))
     copies = pairs.groupBy(CUSTOMER).agg(F.count(F.lit(1)).alias("copies"))
-    return lookup(rows, copies, [CUSTOMER], counts=sizes, share=share)
+    hot = {"most": HOT_KEYS} if share is None else {"share": share}
+    return lookup(rows, copies, [CUSTOMER], counts=stored(sizes, "sizes"), n="n", **hot)
 
 
 def fan_out_sizes(pairs: DataFrame, counts: DataFrame) -> DataFrame:

@@ -105,3 +105,26 @@ def test_hot_keys_are_bounded(spark):
     counts = spark.createDataFrame([(i, 100 - i) for i in range(100)], "k int, n long")
     for share in (1, 10, 50):
         assert lookup.hot_keys(counts, ["k"], "n", share).count() <= share
+
+
+def test_counts_of_all_and_of_some_rows_in_one_pass(rows):
+    from pyspark.sql import functions as F
+
+    df, data = rows
+    every, some = density.stored_pair_counts_within(df, F.col("review_id").startswith("t"))
+    as_dict = lambda c: {(r.product_id, r.customer_id): r.n_reviews for r in c.collect()}
+    assert as_dict(every) == Counter((p, c) for _, p, c in data)
+    assert as_dict(some) == Counter((p, c) for r, p, c in data if r.startswith("t"))
+
+
+def test_join_back_customer_shuffles_no_rows_if_all_customers_fit(rows):
+    """By default the commonest customers meet their rows by broadcast, not only the hot ones."""
+    df, data = rows
+    counts = density.stored_pair_counts(df)
+    pairs = density.density_filter(counts, max_per_pair=3, min_product=20, min_customer=5)
+    back = density.join_back_customer(df, pairs, counts)
+    assert "Union" not in back._jdf.queryExecution().executedPlan().toString()
+    copies = Counter(c for _, c, *_ in brute_dense(data, 3, 20, 5))
+    assert {(r.review_id, r.copies) for r in back.collect()} == {
+        (r, copies[c]) for r, p, c in [*data, ("n1", None, 1)] if c in copies
+    }
