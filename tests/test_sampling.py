@@ -150,3 +150,19 @@ def test_except_rows_matches_subtract(spark):
     lf, rf = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
     got = sorted(map(str, setops.except_rows(lf, rf).collect()))
     assert got == sorted(map(str, lf.subtract(rf).collect())) and len(got) == 3
+
+
+def test_except_rows_query_collapses_repeats_before_the_words(spark, monkeypatch):
+    """The wide rows with their word lists are made of distinct rows only."""
+    from starsift.catalog import relational
+
+    data = [(f"r{i}", i % 3, f"Big  text {i % 7}") for i in range(60)] + [("x", None, None), ("y", 1, None)]
+    df = spark.createDataFrame(data, "review_id string, label int, review_body string")
+    monkeypatch.setattr(relational, "labelled", lambda *_: df)
+    got = relational.except_rows(spark, "")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [review_body") >= 2 and plan.count("Aggregate") >= 3
+    part = {(b, n) for _, n, b in df.filter(sampling.bucket("review_id", 2) == 0).select("review_id", "label", "review_body").collect()}
+    want = {(b, n) for _, n, b in data} - part
+    rows = got.collect()
+    assert {(r.review_body, r.label) for r in rows} == want and len(rows) == len(want)
