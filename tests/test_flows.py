@@ -84,3 +84,11 @@ def test_a_class_of_the_test_rows_alone_is_an_error(spark, reviews):
         {"maxIter": [5]}, folds=2, fold="fold",
     )
     assert done.metrics.first().accuracy == 0.0 and done.predictions.filter("label <> 5").count() == 0
+
+
+def test_flows_build_their_rows_once(spark, reviews):
+    """The capped and the cleaned rows are read back, not made again by each later step."""
+    dense = flows.dense_reviews(reviews, max_per_pair=100)
+    assert "Window" not in dense._jdf.queryExecution().optimizedPlan().toString()
+    rows = flows.word_vector_rows(reviews, train_per_class=60, test_per_class=15)
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString()
