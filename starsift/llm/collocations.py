@@ -116,7 +116,7 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     place = hashes & np.uint64(len(bits) * 8 - 1)
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
@@ -125,8 +125,8 @@ def _windows(block: _Block, bits: np.ndarray, longest: int) -> pd.DataFrame:
     """Distinct windows of a block with their counts; clipped ones hold fewer words, and none stands for all words."""
     ids = np.concatenate([block.ids, np.zeros(longest, dtype=np.int64)])
     together = np.zeros(len(ids), dtype=bool)
-    together[np.flatnonzero(block.pairs)] = _holds(bits, block.pair_hash[block.pairs])
-    start = np.flatnonzero((block.ids > 0) & _holds(bits, block.word_hash))
+    together[np.flatnonzero(block.pairs)] = holds(bits, block.pair_hash[block.pairs])
+    start = np.flatnonzero((block.ids > 0) & holds(bits, block.word_hash))
     group = block.group[start]
     rows = np.zeros((longest, len(start)), dtype=np.int64)
     rows[0] = ids[start]

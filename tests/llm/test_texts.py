@@ -261,3 +261,63 @@ def test_suffix_tree_odd_rows(spark, odd):
     assert len(rows) == odd.count() and all(r.n_tokens >= 1 for r in rows)
     empty, none = suffix_tree.grow(odd.limit(0).select("text"))
     assert all(r.n_known == 0 and r.base_score == 0 for r in suffix_tree.score(odd, empty, none).collect())
+
+
+def plain_tree(texts, scored):
+    """Score of each text by a tree of all states and steps, from the definition."""
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    seqs = [Counter(tuple(t[i : i + k]) for t in map(tokens, texts) for i in range(len(t) - k + 1)) for k in (1, 2, 3)]
+    total = sum(seqs[0].values()) + len(seqs[0]) + 1
+    states = {}
+
+    def chance(context, word):
+        if not context:
+            return (seqs[0][word,] + 1) / total
+        suffix = chance(context[1:], word)
+        if context not in states:
+            return suffix
+        n = seqs[len(context)][*context, word]
+        return (max(n - suffix_tree.DISCOUNT, 0) / seqs[len(context) - 1][context] if n >= suffix_tree.MIN_STEP else 0) + states[context] * suffix
+
+    for k in (1, 2):
+        after = {}
+        for seq, n in seqs[k].items():
+            if n >= suffix_tree.MIN_STEP and seqs[k - 1][seq[:-1]] >= suffix_tree.MIN_CONTEXT:
+                after.setdefault(seq[:-1], []).append((n, n * np.log(n / seqs[k - 1][seq[:-1]] / chance(seq[1:-1], seq[-1]))))
+        for context, steps in after.items():
+            if sum(gain for _, gain in steps) >= suffix_tree.DIVERGENCE:
+                states[context] = 1 - sum(n - suffix_tree.DISCOUNT for n, _ in steps) / seqs[k - 1][context]
+    assert {len(c) for c in states} == {1, 2}
+    return [sum(np.log10(chance(tuple(t[max(i - 2, 0) : i]), w)) for i, w in enumerate(t)) for t in map(tokens, scored)]
+
+
+def test_suffix_tree_whole(spark, monkeypatch):
+    """All states and steps count, however few of them tasks hold; ids may be null or repeat."""
+    rng = np.random.default_rng(4)
+    words = [f"W{i}" if i % 9 else f"a-word-of-{i}-characters-\xfc" for i in range(60)]
+    texts = []
+    for _ in range(300):
+        at, text = int(rng.integers(60)), []
+        for _ in range(40):
+            text.append(words[at])
+            at = (at * 7 + len(text) % 2 + int(rng.integers(3))) % 60 if rng.random() < 0.8 else int(rng.integers(60))
+        texts.append(" ".join(text))
+    texts += [None, "", " \n", texts[0], "w1 never-seen-before"]
+    train, docs = texts[:-1], spark.createDataFrame([(None if i % 50 == 0 else i % 290, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted(plain_tree(train, texts))
+    kept = spark.createDataFrame([(t,) for t in train], "text string").repartition(3)
+    for words_held, steps_held in ((1 << 17, 1 << 18), (8, 8)):
+        monkeypatch.setattr(suffix_tree, "MAX_WORDS", words_held)
+        monkeypatch.setattr(suffix_tree, "MAX_STEPS", steps_held)
+        monkeypatch.setattr(suffix_tree, "PART", 500, raising=False)
+        got = suffix_tree.score(docs, *suffix_tree.grow(kept)).toPandas()
+        assert sorted(got.score) == pytest.approx(want, rel=1e-9)
+        assert (got.n_known < got.n_tokens).sum() == 1
+
+
+def test_slots_hold_all():
+    code = np.random.default_rng(1).integers(1, 1 << 63, 5_000).astype(np.uint64)
+    code[:100] = np.arange(1, 101)  # one slot of their own for all
+    slots = suffix_tree.Slots.of(code, np.arange(5_000.0), np.zeros(5_000))
+    at, hit = slots.find(np.append(code, code + np.uint64(1 << 40)))
+    assert hit[:5_000].all() and (slots.gain[at[:5_000]] == np.arange(5_000)).all() and not hit[5_000:].any()
