@@ -370,7 +370,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
 
     Returns a row per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10).
     Null and empty texts consist of the end only. Rows with a null id count as
-    training rows. Without any training text every token is unknown.
+    training rows. Without any training text every token is unknown. ``counts`` are not read: ``tree.values`` holds them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tree)
     given = docs.select("doc_id", "text")
