@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starsift.llm.collocations import bitmap, holds
+from starsift.llm.collocations import _holds as holds, bitmap
 from starsift.llm.words import GOLDEN, hashes_at, mix, utf8, words_at
 from starsift.session import stored
 
