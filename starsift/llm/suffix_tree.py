@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from starsift.llm.collocations import _holds as holds, bitmap
 from starsift.llm.words import GOLDEN, hashes_at, mix, utf8, words_at
-from starsift.session import stored
+from starsift.session import shuffles_freed, stored
 
 DEPTH = 2
 #: Sizes of what tasks look up, words and longer sequences of each length; the rest is joined.
@@ -303,6 +303,11 @@ def _hot(values: DataFrame, most: int) -> Slots:
 
 def grow(texts: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     """The tree of training texts (column ``text``; null ones consist of the end) and the exact counts of all words."""
+    with shuffles_freed(texts.sparkSession):
+        return _grown(texts, depth)
+
+
+def _grown(texts: DataFrame, depth: int) -> tuple[Tree, DataFrame]:
     sc = texts.sparkSession.sparkContext
     counts = stored(word_counts(texts), "words")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
@@ -371,6 +376,9 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     Returns a row per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10).
     Null and empty texts consist of the end only. Rows with a null id count as
     training rows. Without any training text every token is unknown. ``counts`` are not read: ``tree.values`` holds them.
+
+    Nothing is written: what the tasks do not hold goes into the join as it is found, and each text's own row with it.
+    Rows are known by their places in the scan, which ``docs`` has to repeat if a task is lost.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tree)
     given = docs.select("doc_id", "text")
@@ -386,8 +394,12 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                 base, own, known, missing = tree.logs(block.code, np.repeat(block.first, block.tokens))
                 at, code = (np.concatenate(x) for x in zip(*missing))
                 code = code[np.argsort(at, kind="stable")].view(np.int64)
-                places = np.searchsorted(np.sort(at), np.append(block.first, len(base))).astype(np.int32)
-                columns = [np.arange(row, row + end - begin), block.tokens, np.add.reduceat(known.astype(np.int64), block.first)]
+                places = np.searchsorted(np.sort(at), np.append(block.first, len(base)))
+                # Each list begins with the row's number, which spreads the texts' own rows over the join.
+                number = np.arange(row, row + end - begin)
+                code = np.insert(code, places[:-1], number)
+                places = (places + np.arange(len(places))).astype(np.int32)
+                columns = [number, block.tokens, np.add.reduceat(known.astype(np.int64), block.first)]
                 columns += [np.add.reduceat(x, block.first) / np.log(10.0) for x in (base, own)]
                 row += end - begin
                 yield pa.RecordBatch.from_arrays(
@@ -396,16 +408,18 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                     names=out.names,
                 )
 
-    rows = stored(given.mapInArrow(scored, out), "scores")
-    rest = (
-        rows.select("row", F.explode("rest").alias("code")).join(tree.values, "code")
-        .groupBy("row").agg(
-            F.sum(F.log10(F.col("n") + 1)).alias("words"), F.sum("more").alias("more"), F.count("n").alias("more_known")
-        )
+    rows = given.mapInArrow(scored, out)
+    own = F.struct("doc_id", "n_tokens", "n_known", "base", "score")
+    found = rows.select("row", own.alias("own"), F.posexplode("rest").alias("at", "code"))
+    found = found.select("row", "code", F.when(F.col("at") == 0, F.col("own")).alias("own"))
+    rest = F.col("own").isNull()
+    sums = found.join(tree.values, "code", "left").groupBy("row").agg(
+        *(F.max(f"own.{c}").alias(c) for c in ("doc_id", "n_tokens", "n_known", "base", "score")),
+        F.sum(F.when(rest, F.log10(F.col("n") + 1))).alias("words"), F.sum(F.when(rest, F.col("more"))).alias("more"),
+        F.count(F.when(rest, F.col("n"))).alias("more_known"),
     )
-    return rows.join(rest, "row", "left").select(
-        "doc_id", (~training()).alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
+    return sums.select(
+        "doc_id", (~training()).alias("held_out"), "n_tokens", (F.col("n_known") + F.col("more_known")).alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("words", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),

@@ -321,3 +321,15 @@ def test_slots_hold_all():
     slots = suffix_tree.Slots.of(code, np.arange(5_000.0), np.zeros(5_000))
     at, hit = slots.find(np.append(code, code + np.uint64(1 << 40)))
     assert hit[:5_000].all() and (slots.gain[at[:5_000]] == np.arange(5_000)).all() and not hit[5_000:].any()
+
+
+def test_suffix_tree_disk(spark, monkeypatch):
+    """Shuffle files go with each write of the fit, and scoring stores nothing."""
+    freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, writes = spark.conf.get(freed), []
+    monkeypatch.setattr(suffix_tree, "stored", lambda df, name: writes.append((name, spark.conf.get(freed))) or df.cache())
+    docs = spark.createDataFrame([(i, "a b c d " * 9) for i in range(30)], "doc_id long, text string")
+    tree, counts = suffix_tree.grow(docs.select("text"))
+    assert writes and {on for _, on in writes} == {"true"} and spark.conf.get(freed) == before
+    writes.clear()
+    assert suffix_tree.score(docs, tree, counts).count() == 30 and not writes
