@@ -22,7 +22,7 @@ def documents_dir(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["cv_mlp", "cv_rf", "flow_word2vec_forest", "mlp_predict"])
+@pytest.mark.parametrize("name", ["cv_mlp", "cv_rf", "flow_word2vec_forest", "mlp_predict", "word2vec_doc"])
 def test_fits_see_all_train_rows(spark, documents_dir, monkeypatch, name):
     def fitted(df):
         raise Fitted({r.label: r["count"] for r in df.groupBy("label").count().collect()})
