@@ -36,3 +36,18 @@ def test_fits_see_all_train_rows(spark, documents_dir, monkeypatch, name):
     with pytest.raises(Fitted) as found:
         QUERIES[name](spark, documents_dir)
     assert found.value.args == (want,)
+
+
+def test_word_vector_rows_are_all_cleaned_reviews(spark, tmp_path):
+    ids = spark.range(300)
+    ids.select(
+        F.col("id").alias("doc_id"), F.lit("word text").alias("text"), F.lit("en").alias("lang"),
+        F.lit("made").alias("source"), (F.col("id") % 2).alias("n_chars"),
+    ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(3).select(
+        F.col("id").alias("page_id"), F.lit("http://a.b/c").alias("url"), F.lit("").alias("html")
+    ).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = QUERIES["flow_word_vector_rows"](spark, str(tmp_path)).collect()
+    # doc_id % 29 = 0 has no headline and is no cleaned review.
+    assert sorted(r.review_id for r in rows) == [i for i in range(300) if i % 29]
+    assert sum(r.split == "test" for r in rows) == -(-len(rows) // 5) and {r.label for r in rows} == {0, 1}
