@@ -54,9 +54,10 @@ def tfidf_vectors(
     """``key, indices, counts, weights``: sparse TF-IDF vectors over all terms, ids ascending.
 
     Terms of fewer than ``min_doc_freq`` documents keep their place with a weight of 0.
-    The texts are read once for the terms; documents without terms get empty vectors.
+    Documents without terms get empty vectors. The terms are counted from ``df`` for the dictionary and
+    again for the vectors, since their rows are more than the texts; pass a stored frame.
     """
-    counted = stored(term_frequency(df.select(key, tokens), key=key, tokens=tokens), "term-counts")
+    counted = term_frequency(df.select(key, tokens), key=key, tokens=tokens)
     ids = stored(with_ids(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))), "term-ids")
     n_docs = df.agg(F.count(F.lit(1))).scalar()
     weights = ids.select("term", "id", idf_weight(n_docs, min_doc_freq).alias("idf"))
